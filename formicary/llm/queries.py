@@ -48,9 +48,26 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formicary.llm.warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: fixed values: the rules of the contract
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formicary.llm.urls import judge_urls
+
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules, ["page_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op5_line_dedup, op8_quality_rules, op9_language_id)
+    for f in (op1_best_fit_packing, op5_line_dedup, op8_quality_rules, op9_language_id, op7_warc, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {}
