@@ -27,8 +27,10 @@ from formicary.llm.shared import byte_rows, materialize
 
 #: Pieces of one length that one task ranks; hot lengths are split into parts of about this size.
 ROWS_PER_PART = 20_000
-#: Words a worker remembers the ids of.
-KNOWN_WORDS = 500_000
+#: Words and lower-cased words that a worker remembers the ids of.
+KNOWN_WORDS, KNOWN_CORES = 600_000, 800_000
+#: Closing marks that are tokens of their own after a letter.
+MARKS = frozenset((b".", b",", b"!", b"?", b";", b":"))
 SEGMENT = 1 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -218,11 +220,12 @@ def seats(runs: list[tuple[int, tuple[int, ...]]]) -> dict[str, np.ndarray]:
 # --- tokens -----------------------------------------------------------------------------------
 
 
-class WordIds:
+class WordIds(dict):
     """Ids of white-space separated words as little-endian bytes, remembered up to a bound.
 
     The tokenizer drops ASCII white space and no token or added token crosses it, so the ids of a text
-    are those of its words one after the other.
+    are those of its words one after the other. It also lower-cases and never joins a letter with
+    punctuation, so a word with a closing mark has the ids of its core, then those of the mark.
     """
 
     def __init__(self, path: str) -> None:
@@ -231,24 +234,40 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.known: dict[bytes, bytes] = {}
+        super().__init__()
+        self.cores: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+
+    def _of(self, text: bytes) -> bytes:
+        found = self.cores.get(text)
+        if found is None:
+            if text.isalpha():  # lower-case ASCII letters are one unit for the model, with nothing to normalise
+                ids = [t.id for t in self.model.tokenize(text.decode())]
+            else:
+                ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.cores) < KNOWN_CORES:
+                self.cores[text] = found
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        core, mark = (word[:-1], word[-1:]) if word[-1:] in MARKS else (word, b"")
+        if core.isalpha():  # ASCII letters only
+            found = self._of(core.lower())
+        elif mark and core and "\xc0" <= (last := core.decode()[-1]) <= "\u024f" and last.lower().isalpha():
+            found = self._of(core)
+        else:
+            core, mark = word, b""
+            found = self._of(word)
+        if mark:
+            found += self._of(mark)
+        if len(self) < KNOWN_WORDS:
+            self[word] = found
+        return found
 
     def encode(self, words: list[bytes]) -> bytes:
-        known = self.known
-        new = [x for x in set(words) if x not in known]
-        if not new:
-            return b"".join(map(known.__getitem__, words))
-        fresh: dict[bytes, bytes] = {}
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                ids = got.ids
-                fresh[word] = struct.pack(f"<{len(ids)}I", *ids)
-        if len(known) + len(fresh) <= KNOWN_WORDS:
-            known.update(fresh)
-            return b"".join(map(known.__getitem__, words))
-        return b"".join([fresh[x] if x in fresh else known[x] for x in words])
+        return b"".join(map(self.__getitem__, words))
 
 
 _workers: dict[str, WordIds] = {}
