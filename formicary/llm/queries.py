@@ -25,6 +25,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formicary.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, similarity=(85, 100))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from formicary.llm.lines import dedup_lines
 
@@ -67,7 +73,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op5_line_dedup, op8_quality_rules, op9_language_id, op7_warc, op10_url_filter)
+    for f in (op1_best_fit_packing, op3_minhash_near_dedup, op5_line_dedup, op8_quality_rules, op9_language_id, op7_warc, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {}
