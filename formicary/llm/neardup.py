@@ -193,7 +193,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are kept only where no row of their group has one, and repeated ids share their verdict if their
     texts are equal. An empty table gives no rows; other columns of docs are left out.
     """
-    num, den = similarity
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = materialize(narrow.mapInArrow(_signatures(shingle, bands, rows, seed), SIGNATURE), "signatures")
     some = found.filter("node is not null")
@@ -203,6 +202,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = halves.join(shared, "half", "left_semi")
     tensor = live.groupBy("node").agg(F.max("n").alias("n"), F.collect_set(F.when(F.col("half") % 2 == 0, F.col("half"))).alias("_one"), F.collect_set(F.when(F.col("half") % 2 != 0, F.col("half"))).alias("_two"))
     keys = tensor.select("node", "n", "_two", F.explode("_one").alias("_first")).select("node", "n", "_first", F.explode("_two").alias("_second")).select(F.xxhash64("_first", "_second").alias("key"), "node", "n")
+    return groups_of_keys(narrow, found.select("doc_id", "n_shingles", "node"), keys, shingle, similarity)
+
+
+def groups_of_keys(narrow: DataFrame, found: DataFrame, keys: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for the links within the buckets of a banding.
+
+    narrow (doc_id, text) has the texts; found (doc_id, n_shingles, node) a row for each of them; keys
+    (key, node, n) the buckets that each node is in, a row for each pair at most.
+    """
+    num, den = similarity
+    some = found.filter("node is not null")
     keys = materialize(keys, "keys")
     buckets = keys.groupBy("key").agg(F.count("*").alias("_n"), F.min("node").alias("pivot"), F.max("node").alias("_last"), F.bit_xor(F.xxhash64("node")).alias("_x")).filter("_n > 1")
     buckets = buckets.groupBy("pivot", "_last", "_n", "_x").agg(F.min("key").alias("key")).select("key", "pivot")  # of buckets with the same members, one
@@ -230,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the documents that have a near-duplicate with a smaller id; columns as they are.
 
-    Rows that repeat an id with an equal text, or have none, are all kept or all dropped.
+    Rows that repeat an id share its verdict; rows without an id can't be named and stay.
     """
     verdicts = near_duplicates(docs, id_col, text_col, **how)
     dropped = verdicts.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_dropped")).distinct()

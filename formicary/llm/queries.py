@@ -31,6 +31,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, similarity=(85, 100))
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formicary.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from formicary.llm.lines import dedup_lines
 
@@ -73,7 +79,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op3_minhash_near_dedup, op5_line_dedup, op8_quality_rules, op9_language_id, op7_warc, op10_url_filter)
+    for f in (op1_best_fit_packing, op3_minhash_near_dedup, op4_document_fingerprints, op5_line_dedup, op8_quality_rules, op9_language_id, op7_warc, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from formicary.llm.ranges import count_below
+
 #: Sampled keys for each range; the driver holds ranges * KEYS_PER_RANGE short strings.
 KEYS_PER_RANGE = 32
 ROWS_PER_RANGE = 100_000
@@ -35,20 +37,6 @@ def reversed_host(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def _below(bounds: list[str], key: Column, or_equal: bool) -> Column:
-    """How many of the sorted bounds are < key (or <= key): a binary search in one expression."""
-    if not bounds:
-        return F.lit(0)
-    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    array = F.array(*map(F.lit, bounds))
-
-    def step(at: Column, by: Column) -> Column:
-        there = F.get(array, at + by - 1)
-        return F.when(there <= key if or_equal else there < key, at + by).otherwise(at)
-
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
-
-
 def range_bounds(keys: DataFrame, ranges: int) -> list[str]:
     """Quantiles of about ranges * KEYS_PER_RANGE keys, chosen by a hash over the rows."""
     want, n = ranges * KEYS_PER_RANGE, keys.count()
@@ -126,12 +114,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, keep: list[str], url_col: str
     count = urls.count()
     ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // ROWS_PER_RANGE))
     bounds = range_bounds(urls, ranges)
-    first, last = _below(bounds, F.col("_key"), False), _below(bounds, F.col("_key"), True)
+    first, last = count_below(bounds, F.col("_key"), False), count_below(bounds, F.col("_key"), True)
     dealt = urls.withColumn("_first", first).withColumn("_last", last).withColumn("_range", F.col("_first") + F.pmod(F.xxhash64(*kept, "path"), F.col("_last") - F.col("_first") + 1).cast("int"))
     dealt = dealt.select(*kept, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), "_key", F.lit(1).alias("_kind"), "_range")
     given = rules.select(F.col("action"), F.translate("host", UPPER, LOWER).alias("host"), F.col("path")).dropna().withColumn("_key", reversed_host(F.col("host")))
     end = F.concat(F.expr("substring(_key, 1, length(_key) - 1)"), F.lit("/"))  # the character after the dot
-    spread = given.withColumn("_range", F.explode(F.sequence(_below(bounds, F.col("_key"), False), _below(bounds, end, False))))
+    spread = given.withColumn("_range", F.explode(F.sequence(count_below(bounds, F.col("_key"), False), count_below(bounds, end, False))))
     types = {f.name: f.dataType for f in pages.schema.fields}
     spread = spread.select(*(F.lit(None).cast(types[c]).alias(c) for c in kept), "host", "path", F.concat("host", "path").alias("rule"), F.col("action").alias("verdict"), "_key", F.lit(0).alias("_kind"), "_range")
     sorted_ = dealt.unionByName(spread).repartitionById(ranges, F.col("_range")).sortWithinPartitions("_key", "_kind")
