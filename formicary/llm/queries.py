@@ -60,6 +60,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formicary.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from formicary.llm.warc import round_trip
 
@@ -79,7 +85,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op3_minhash_near_dedup, op4_document_fingerprints, op5_line_dedup, op8_quality_rules, op9_language_id, op7_warc, op10_url_filter)
+    for f in (op1_best_fit_packing, op3_minhash_near_dedup, op4_document_fingerprints, op5_line_dedup, op6_license_scan, op8_quality_rules, op9_language_id, op7_warc, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {}
