@@ -25,6 +25,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formicary.llm.pieces import decode, encode
+
+    model = vocabulary("piece_bpe_32k.model")
+    out = decode(encode(_table(spark, sf_dir, "documents"), model), model)
+    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
+    return out.select("doc_id", F.col("n_chunks").cast("long").alias("n_chunks"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from formicary.llm.neardup import near_duplicates
 
@@ -85,7 +94,57 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op3_minhash_near_dedup, op4_document_fingerprints, op5_line_dedup, op6_license_scan, op8_quality_rules, op9_language_id, op7_warc, op10_url_filter)
+    for f in (op1_best_fit_packing, op2_sentencepiece, op3_minhash_near_dedup, op4_document_fingerprints, op5_line_dedup, op6_license_scan, op7_warc, op8_quality_rules, op9_language_id, op10_url_filter)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _op7_sql() -> str:
+    return """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS keeper FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < keeper THEN keeper END AS refers_to
+FROM r"""
+
+
+def _op10_sql() -> str:
+    host = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+    ordered = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = " ".join(f"WHEN {host.format(h, p)} THEN '{h}{p}'" for _, h, p in ordered)
+    blocked = ", ".join(f"'{h}{p}'" for action, h, p in URL_RULES if action == "block")
+    return f"""
+WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+c AS (SELECT *, CASE {rule} END AS rule FROM b)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ({blocked}) THEN 'block' ELSE 'allow' END AS verdict FROM c"""
+
+
+_LINE_KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _op5_sql() -> str:
+    return f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS spot FROM documents),
+k AS (SELECT doc_id, spot, line, {_LINE_KEY} AS line_key FROM l),
+f AS (SELECT line_key, max(doc_id) AS keeper FROM k WHERE length(line_key) >= 40 GROUP BY line_key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.doc_id, k.spot, k.line, coalesce(f.keeper <> k.doc_id, false) AS gone FROM k LEFT JOIN f ON f.line_key = k.line_key)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY spot) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id"""
+
+
+def _op6_sql() -> str:
+    from formicary.llm.licenses import oracle
+
+    return oracle()
+
+
+#: Those that SQL can express; the others are held against brute force, round trips or held-out accuracy in tests.
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": _op5_sql(),
+    "op6_license_scan": _op6_sql(),
+    "op7_warc": _op7_sql(),
+    "op10_url_filter": _op10_sql(),
+}
