@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 RADIUS_KM = 6371.0088
 
@@ -47,7 +48,7 @@ def vincenty(lat1: float, lon1: float, lat2: float, lon2: float) -> float | None
     return None
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def vincenty_km(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
     """Vincenty's distance for columns; null where an input is null or it doesn't converge."""
     rows = zip(lat1, lon1, lat2, lon2, strict=True)

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 def hex_hash(i: Column, x: Column) -> Column:
@@ -39,7 +40,7 @@ def murmur3_32(data: bytes, seed: int = 0) -> int:
     return h ^ h >> 16
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def murmur3(x: pd.Series, seed: pd.Series) -> pd.Series:
     """Seeded Murmur3 of strings as a signed 32-bit number; null for null."""
 
