@@ -32,22 +32,39 @@ def range_number(order: Column, bounds: list[int]) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
+def _join(left: DataFrame, right: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
+    """Inner join where nulls are equal; small: right has a row per range at most, so it is broadcast."""
+    renamed = right.select(*(F.col(k).alias(f"_r_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(F.broadcast(renamed) if small else renamed, on).drop(*(f"_r_{k}" for k in keys))
+
+
 def with_rank(df: DataFrame, keys: list[str], order: list[str], range_col: Column, name: str = "rank") -> DataFrame:
-    """df with each row's rank (from 1) within its keys by `order`; range_col must rise with the order."""
+    """df with each row's rank (from 1) within its keys by `order`; range_col must rise with the order.
+
+    A key that holds many rows is ranked in as many parts as there are ranges.
+    """
     dealt = df.withColumn("_range", range_col)
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     within = Window.partitionBy(*keys, "_range").orderBy(*order)
     ranked = dealt.withColumn("_place", F.row_number().over(within))
-    return ranked.join(bases, [*keys, "_range"]).withColumn(name, F.col("_place") + F.col("_base")).drop("_range", "_place", "_base")
-
-
-def with_next(df: DataFrame, order: list[str], value: str, range_col: Column, name: str = "next") -> DataFrame:
-    """df's `order` and `value` columns with the value of the following row in the whole order (null for the last)."""
-    dealt = df.select(*dict.fromkeys([*order, value])).withColumn("_range", range_col)
-    first = dealt.groupBy("_range").agg(F.min_by(value, F.struct(*order)).alias("_first"))
-    after = first.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_after"))  # a row per range
-    within = Window.partitionBy("_range").orderBy(*order)
-    last = F.row_number().over(Window.partitionBy("_range").orderBy(*[F.desc(c) for c in order])) == 1
-    out = dealt.withColumn("_next", F.lead(value).over(within)).withColumn("_last", last).join(F.broadcast(after), "_range")
-    return out.withColumn(name, F.when(F.col("_last"), F.col("_after")).otherwise(F.col("_next"))).drop("_range", "_next", "_last", "_after")
+    return _join(ranked, bases, [*keys, "_range"]).withColumn(name, F.col("_place") + F.col("_base")).drop("_range", "_place", "_base")
+
+
+def with_next(df: DataFrame, order: list[str], value: str, range_col: Column, name: str = "next", keys: list[str] | None = None) -> DataFrame:
+    """df's keys, `order` and `value` with the value of the following row of the same keys (null for the last).
+
+    Without keys the following row of the whole order. Rows meet within a range; of each range and key,
+    one row (its first value) meets the others' to bridge the bounds.
+    """
+    keys = keys or []
+    dealt = df.select(*dict.fromkeys([*keys, *order, value])).withColumn("_range", range_col)
+    first = dealt.groupBy(*keys, "_range").agg(F.min_by(value, F.struct(*order)).alias("_first"))
+    after = first.select(*keys, "_range", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_range")).alias("_after"))
+    within = Window.partitionBy(*keys, "_range")
+    out = dealt.withColumn("_next", F.lead(value).over(within.orderBy(*order))).withColumn("_left", F.count("*").over(within) - F.row_number().over(within.orderBy(*order)))
+    joined = _join(out, after, [*keys, "_range"], small=not keys)
+    return joined.withColumn(name, F.when(F.col("_left") == 0, F.col("_after")).otherwise(F.col("_next"))).drop("_range", "_next", "_left", "_after")

@@ -32,10 +32,11 @@ def transitions(events: DataFrame, ts: str = "ts", event: str = "event") -> Data
 
 
 def keyed_transitions(events: DataFrame, keys: list[str], ts: str = "ts", event: str = "event") -> DataFrame:
-    """(keys..., from, to, n, p): a chain for each key, by a window within the key."""
-    rows = events.filter(F.col(ts).isNotNull() & F.col(event).isNotNull())
-    paired = rows.withColumn("to", F.lead(event).over(Window.partitionBy(*keys).orderBy(ts, event))).filter("to is not null")
-    counts = paired.groupBy(*keys, F.col(event).alias("from"), "to").agg(F.count("*").alias("n"))
+    """(keys..., from, to, n, p): a chain for each key; a key with many rows is paired up by ranges of time."""
+    rows = events.select(*keys, ts, event).filter(F.col(ts).isNotNull() & F.col(event).isNotNull())
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    paired = with_next(rows, [ts, event], event, range_number(micros, quantile_bounds(rows, micros)), keys=keys)
+    counts = paired.filter("next is not null").groupBy(*keys, F.col(event).alias("from"), F.col("next").alias("to")).agg(F.count("*").alias("n"))
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*keys, "from")))
 
 

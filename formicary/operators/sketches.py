@@ -189,7 +189,7 @@ def dgim_replay(rows: DataFrame, bit: str, window: int = 300, keys: tuple[str, .
     micros = F.col(order).cast("long")
     ranks = with_rank(rows.select(*keys, order, bit), list(keys), [order], range_number(micros, quantile_bounds(rows, micros)), "_rank")
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
-    marked = ranks.join(F.broadcast(sizes), list(keys))
+    marked = ranks.join(sizes, list(keys))
     groups = marked.groupBy(*keys, "_first").agg(F.sum(bit).alias("_all"), F.sum(F.when(F.col("_n") - F.col("_rank") <= window, F.col(bit)).otherwise(0)).alias("_late"))
     earlier = F.coalesce(F.sum("_late").over(Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per group
     left = groups.select(F.when(earlier > 0, F.col("_all")).otherwise(F.col("_late")).alias("_left"))

@@ -85,6 +85,8 @@ def test_classes_and_cycles_in_spark(spark):
 def test_user_chains(spark):
     rows = chain_events(spark, "abab").withColumn("u", F.col("id") % 2)
     assert {(r.u, r["from"], r["to"]) for r in markov.keyed_transitions(rows, ["u"]).collect()} == {(0, "a", "a"), (1, "b", "b")}
+    none = chain_events(spark, "abc").withColumn("u", F.lit(None).cast("int"))
+    assert {(r.u, r["from"], r["to"]) for r in markov.keyed_transitions(none, ["u"]).collect()} == {(None, "a", "b"), (None, "b", "c")}
 
 
 def places(spark):
