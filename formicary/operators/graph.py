@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formicary.functions.geo import haversine_km
@@ -63,3 +63,20 @@ def visit_shares(paths: DataFrame) -> DataFrame:
     counts = paths.groupBy("habitat").agg(F.count("*").alias("visits"))
     total = counts.agg(F.sum("visits").alias("_t"))
     return counts.join(F.broadcast(total)).select("habitat", "visits", (F.col("visits") * 100.0 / F.col("_t")).alias("percent"))
+
+
+def drawing(places: DataFrame, links: DataFrame, path: DataFrame) -> DataFrame:
+    """What a plot of one walk needs: (kind, name, to, latitude, longitude, step) of nodes, edges and path steps.
+
+    Edges and steps have no place of their own; the renderer looks it up among the nodes.
+    """
+    none = F.lit(None)
+    nodes = places.select(F.lit("node").alias("kind"), F.col("habitat").alias("name"), none.cast("string").alias("to"), "latitude", "longitude", none.cast("int").alias("step"))
+    edges_ = links.select(F.lit("edge"), "h1", "h2", none.cast("double"), none.cast("double"), none.cast("int"))
+    steps = path.select(F.lit("step"), "habitat", none.cast("string"), none.cast("double"), none.cast("double"), F.col("step").cast("int"))
+    return nodes.union(edges_).union(steps)
+
+
+def ranked(weights: DataFrame, weight: str, name: str) -> DataFrame:
+    """Rows by falling weight, ties by name, with their position from 1."""
+    return weights.orderBy(F.desc(weight), name).withColumn("position", F.row_number().over(Window.orderBy(F.desc(weight), name)))

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from formicary.operators.sketches import Dgim
-from formicary.operators.store import upsert
+from formicary.operators.store import age_seconds, upsert
 from formicary.schema import decode
 
 
@@ -36,17 +36,21 @@ def ingest(messages: DataFrame, good_path: str, bad_path: str, checkpoint: str,
     return messages.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def upserting(events: DataFrame, path: str, checkpoint: str, key: str = "id", seq: str = "ts", **trigger):  # noqa: ANN201
+def upserting(events: DataFrame, path: str, checkpoint: str, key: str = "id", seq: str = "ts", keep_hours: float | None = None, ts: str = "ts", **trigger):  # noqa: ANN201
     """Keep the last row of each key under path, as one version after another; returns the query.
 
     A version is written in full next to the last one before it counts, so readers never see half of it.
+    keep_hours: rows whose time is longer ago by the clock leave with the next version.
     """
     spark = events.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
         before = latest_version(spark, path, number)
         merged = batch if before is None else before.unionByName(batch)
-        upsert(merged, key, seq).write.mode("overwrite").parquet(f"{path}/v={number:012d}")
+        last = upsert(merged, key, seq)
+        if keep_hours is not None:
+            last = last.filter(~(age_seconds(F.current_timestamp(), ts) > keep_hours * 3600))
+        last.write.mode("overwrite").parquet(f"{path}/v={number:012d}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

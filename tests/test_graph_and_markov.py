@@ -116,6 +116,9 @@ def test_walks_follow_edges_and_stop_at_dead_ends(spark):
     assert len(steps) == 120 and all(tuple(sorted((a.habitat, b.habitat))) in near for a, b in zip(steps, steps[1:], strict=False) if a.walk == b.walk)
     shares = graph.visit_shares(graph.walk_from(places(spark), all_, "forest", 20, 5)).collect()
     assert abs(sum(r.percent for r in shares) - 100) < 1e-9
+    assert [r.habitat for r in graph.ranked(spark.createDataFrame([("a", 1), ("c", 2), ("b", 2)], "habitat string, visits int"), "visits", "habitat").orderBy("position").collect()] == ["b", "c", "a"]
+    drawn = graph.drawing(places(spark), all_, graph.walk_from(places(spark), all_, "forest")).groupBy("kind").count().collect()
+    assert {r.kind: r["count"] for r in drawn} == {"node": 4, "edge": 6, "step": 6}
     with pytest.raises(ValueError, match="unknown habitat"):
         graph.walk_from(places(spark), links, "moon")
 

@@ -57,6 +57,9 @@ def test_upserts_keep_the_last(spark, tmp_path):
     got = {r.id: r.text for r in streams.latest_version(spark, f"{tmp_path}/out").collect()}
     assert got == {1: "c", 10: "a", 11: "b", 12: "c"}
     assert streams.latest_version(spark, f"{tmp_path}/none") is None
+    dated = spark.readStream.schema("id long, text string, seq long").json(f"{tmp_path}/in").withColumn("ts", F.when(F.col("id") == 1, F.current_timestamp()).otherwise(F.to_timestamp(F.lit("2024-01-01"))))
+    finish(streams.upserting(dated, f"{tmp_path}/kept", f"{tmp_path}/ck2", seq="seq", keep_hours=2))
+    assert [r.id for r in streams.latest_version(spark, f"{tmp_path}/kept").collect()] == [1]
 
 
 def test_counters_and_transitions_keep_state_between_batches(spark, tmp_path):
