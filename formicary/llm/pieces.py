@@ -18,13 +18,12 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formicary.llm.shared import materialize
+from formicary.llm.shared import arrow_map, materialize
 
 #: Characters in a chunk; longer documents are giant.
 CHUNK = 16_384
@@ -49,6 +48,27 @@ class PieceModel:
         proto = sp.serialized_model_proto()
         self.merges = _model_type(proto) == 2
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.bytes = [self._bytes(k) for k in range(sp.get_piece_size())]
+
+    def _bytes(self, k: int) -> bytes:
+        sp = self.library
+        if sp.is_byte(k):
+            return bytes([int(sp.id_to_piece(k)[3:5], 16)])
+        if sp.is_control(k) or sp.is_unknown(k):
+            return sp.decode([k]).encode()
+        return sp.id_to_piece(k).replace(SPACE, " ").encode()
+
+    def text_of(self, ids: list[int]) -> str:
+        """The text of ids, as the library decodes them."""
+        if not ids:
+            return ""
+        try:
+            out = b"".join(map(self.bytes.__getitem__, ids)).decode()
+        except UnicodeDecodeError:  # byte pieces that are no text: the library knows what to put there
+            return self.library.decode(ids)
+        if not out.startswith(" ") or not self.library.id_to_piece(ids[0]).startswith(SPACE):
+            return out if all(self.bytes[k] for k in ids[:1]) else self.library.decode(ids)
+        return out[1:]
 
     def merged(self, text: str) -> list[str]:
         """Tokens of a short text: the pair of best score first, of equals the leftmost."""
@@ -265,16 +285,17 @@ def encode_chunked(model: PieceModel, text: str, chunk: int) -> list[int]:
     return [x for (a, b), i, j in zip(spans, states, states[1:], strict=False) for x in model.tokens(plain, a, b, i, j)]
 
 
+def _listed(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+
+
 def _small(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = piece_model(path).library
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [np.array(x, np.int32) for x in sp.encode([x or "" for x in part.column(1).to_pylist()], num_threads=1)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if len(ids) else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.ones(len(ids), np.int32)), listed], ["doc_id", "n_chunks", "ids"])
+            ids = [np.asarray(sp.encode_as_numpy(x), np.int32) if x else np.zeros(0, np.int32) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ones(len(ids), np.int32)), _listed(ids)], ["doc_id", "n_chunks", "ids"])
 
     return run
 
@@ -307,10 +328,24 @@ def _transfers(path: str) -> Callable:
     return run
 
 
-def _choose(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("chunk")
-    states = choose_states([pickle.loads(x) for x in rows["matrix"]])
-    return pd.DataFrame({"row": rows["row"], "chunk": rows["chunk"], "entry": states[:-1], "exit": states[1:]})
+def _documents(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
+    """Runs of rows with one value in the first column, across batches."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if held and held[0][0] != row[0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _documents(batches, ["row", "chunk", "matrix"]):
+        states = choose_states([pickle.loads(m) for _, _, m in rows])
+        columns = zip(*((row, chunk, i, j) for (row, chunk, _), i, j in zip(rows, states, states[1:], strict=False)), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["row", "chunk", "entry", "exit"])
 
 
 def _trace(path: str) -> Callable:
@@ -324,10 +359,10 @@ def _trace(path: str) -> Callable:
     return run
 
 
-def _assemble(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("chunk")
-    ids = np.frombuffer(b"".join(rows["part"]), np.int32)
-    return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1].astype("Int64"), "n_chunks": rows["n_chunks"].iloc[:1], "ids": [ids]})
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _documents(batches, ["row", "chunk", "doc_id", "n_chunks", "part"]):
+        ids = np.frombuffer(b"".join(r[4] for r in rows), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([rows[0][2]], pa.int64()), pa.array([rows[0][3]], pa.int32()), _listed([ids])], ["doc_id", "n_chunks", "ids"])
 
 
 def encode(docs: DataFrame, model: str, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,26 +373,23 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, id_col: str = "doc_i
     are encoded each; other columns of docs are left out.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    small = narrow.filter(F.length("text") <= chunk).mapInArrow(_small(model), "doc_id long, n_chunks int, ids array<int>")
-    cut = narrow.filter(F.length("text") > chunk).mapInArrow(_chunks(model, chunk), "row long, doc_id long, chunk int, n_chunks int, text string, start int, end int")
+    small = arrow_map(narrow.filter(F.length("text") <= chunk), _small(model), "doc_id long, n_chunks int, ids array<int>")
+    cut = arrow_map(narrow.filter(F.length("text") > chunk), _chunks(model, chunk), "row long, doc_id long, chunk int, n_chunks int, text string, start int, end int")
     cut = materialize(cut, "chunks")
-    matrices = cut.select("row", "chunk", "text", "start", "end").repartition("row", "chunk").mapInArrow(_transfers(model), "row long, chunk int, matrix binary")
-    chosen = matrices.groupBy("row").applyInPandas(_choose, "row long, chunk int, entry int, exit int")
-    parts = cut.join(chosen, ["row", "chunk"]).mapInArrow(_trace(model), "row long, doc_id long, chunk int, n_chunks int, part binary")
-    giant = parts.groupBy("row").applyInPandas(_assemble, "doc_id long, n_chunks int, ids array<int>")
+    matrices = arrow_map(cut.select("row", "chunk", "text", "start", "end").repartition("row", "chunk"), _transfers(model), "row long, chunk int, matrix binary")
+    chosen = arrow_map(matrices.repartition("row").sortWithinPartitions("row", "chunk"), _choose, "row long, chunk int, entry int, exit int")
+    parts = arrow_map(cut.join(chosen, ["row", "chunk"]), _trace(model), "row long, doc_id long, chunk int, n_chunks int, part binary")
+    giant = arrow_map(parts.repartition("row").sortWithinPartitions("row", "chunk"), _assemble, "doc_id long, n_chunks int, ids array<int>")
     return small.union(giant)
 
 
 def _decoded(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = piece_model(path).library
-        at = None
+        model = piece_model(path)
         for batch in batches:
-            at = batch.schema.get_field_index("ids")
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = [sp.decode(x) if x else "" for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+            lists = batch.column(batch.schema.get_field_index("ids"))
+            texts = [model.text_of(x.values.to_numpy().tolist() if x.is_valid else []) for x in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return run
 
@@ -367,4 +399,4 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     from pyspark.sql.types import StringType, StructField, StructType
 
     kept = encoded.drop("decoded")
-    return kept.mapInArrow(_decoded(model), StructType([*kept.schema.fields, StructField("decoded", StringType())]))
+    return arrow_map(kept, _decoded(model), StructType([*kept.schema.fields, StructField("decoded", StringType())]))

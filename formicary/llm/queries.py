@@ -30,8 +30,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     model = vocabulary("piece_bpe_32k.model")
     out = decode(encode(_table(spark, sf_dir, "documents"), model), model)
-    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
-    return out.select("doc_id", F.col("n_chunks").cast("long").alias("n_chunks"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", F.col("n_chunks").cast("long").alias("n_chunks"), F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

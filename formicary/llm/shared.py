@@ -5,20 +5,29 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+#: Rows that go to a Python worker at a time, at most.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _local_fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests).
+
+    With its scheme, so that Spark and other readers mean the same store by it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
-        return found.rstrip("/")
+        target = spark._jvm.org.apache.hadoop.fs.Path(found)
+        return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
     if "dir" not in _local_fallback:
         _local_fallback["dir"] = "file://" + tempfile.mkdtemp(prefix="formicary-")
     return _local_fallback["dir"]
@@ -51,6 +60,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_map(df: DataFrame, f: Callable, schema: str | StructType) -> DataFrame:
+    """df.mapInArrow in batches of at most BATCH_ROWS rows, so that whole texts don't pile up in a worker.
+
+    Spark reads the size from the session when the plan runs; a smaller one that is set already stays.
+    """
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, BATCH_ROWS)
+    return df.mapInArrow(f, schema)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> pa.BinaryArray:
     """A string column as binary with 32-bit offsets, without a copy where Arrow has none to make."""
     if isinstance(column, pa.ChunkedArray):

@@ -61,6 +61,14 @@ def test_prefixes_are_products():
         assert np.allclose(got, now)
 
 
+def test_texts_of_any_ids_are_the_librarys():
+    model = PieceModel(PATH)
+    draw = random.Random(4)
+    for _ in range(500):
+        ids = [draw.choice([0, 1, 2, draw.randrange(3, 259), draw.randrange(259, 32000), 259, 29871]) for _ in range(draw.randint(0, 6))]
+        assert model.text_of(ids) == model.library.decode(ids), ids
+
+
 def test_encode_and_decode_whole_tables(spark):
     rows = odd_documents() + [(20, "abc" * 3000, None, None, None)]
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
