@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formicary.llm.shared import byte_rows
+from formicary.llm.shared import arrow_map, byte_rows
 
 #: Labelled rows that the model is fitted on, at most about so many (a hash of the id chooses them).
 SAMPLE_ROWS = 12_000
@@ -171,7 +171,8 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     """
     known = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("_h")).filter("lang is not null")
     share = min(1.0, sample_rows / max(1, known.count()))
-    grams = known.filter(F.pmod("_h", F.lit(1_000_000)) < int(share * 1_000_000)).select("lang", "text").mapInArrow(_count_grams, "lang string, bin long, n long")
+    chosen = known.filter(F.pmod("_h", F.lit(1_000_000)) < int(share * 1_000_000)).select("lang", "text")
+    grams = arrow_map(chosen, _count_grams, "lang string, bin long, n long")
     rows = grams.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()  # languages x BINS at most
     texts = {r.lang: r.n for r in rows[rows["bin"] < 0].itertuples()}
     languages = sorted(x for x, n in texts.items() if n >= min_texts) or sorted(texts)
@@ -206,10 +207,10 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
     schema = StructType([*taken.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())])
-    return taken.mapInArrow(_predicted(shared, len(keep), keep, False), schema)
+    return arrow_map(taken, _predicted(shared, len(keep), keep, False), schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs whose text has a language and isn't ambiguous, with docs' columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_predicted(shared, docs.columns.index(text_col), docs.columns, True), docs.schema)
+    return arrow_map(docs, _predicted(shared, docs.columns.index(text_col), docs.columns, True), docs.schema)

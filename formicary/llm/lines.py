@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formicary.llm.perfect_hash import PerfectHash
-from formicary.llm.shared import byte_rows, materialize
+from formicary.llm.shared import arrow_map, byte_rows, materialize
 
 SPACE = b" \t\n\x0b\x0c\r"
 KEYS_PER_SHARD = 50_000
@@ -73,7 +73,7 @@ def frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
 
     Documents are told apart by id; rows without an id count as one document and never keep a line.
     """
-    keys = docs.mapInArrow(_keys_of(min_chars), "hi long, lo long, doc_id long")
+    keys = arrow_map(docs, _keys_of(min_chars), "hi long, lo long, doc_id long")
     once = keys.groupBy("hi", "lo", "doc_id").agg(F.lit(1).alias("_one"))
     return once.groupBy("hi", "lo").agg(F.count("*").alias("n_docs"), F.coalesce(F.max("doc_id"), F.lit(NO_ID)).alias("keeper")).filter(F.col("n_docs") >= min_docs)
 
@@ -181,7 +181,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = docs.select(*kept, (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long").alias(n_lines), F.lit(0).cast("long").alias(n_dropped))
     for k, group in enumerate(passes):
         content = {r["shard"]: bytes(r["content"]) for r in index.filter(F.col("shard").between(group[0], group[-1])).collect()} if group else {}
-        out = out.mapInArrow(_drop_lines(spark.sparkContext.broadcast(content), n_shards, min_chars, kept.index(id_col), kept.index(text_col)), out.schema)
+        out = arrow_map(out, _drop_lines(spark.sparkContext.broadcast(content), n_shards, min_chars, kept.index(id_col), kept.index(text_col)), out.schema)
         if k + 1 < len(passes):
             out = materialize(out, "line-pass")
     return out

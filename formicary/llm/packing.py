@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from formicary.llm.shared import byte_rows, materialize
+from formicary.llm.shared import arrow_map, byte_rows, materialize
 
 #: Pieces of one length that one task ranks; hot lengths are split into parts of about this size.
 ROWS_PER_PART = 20_000
 #: Words and lower-cased words that a worker remembers the ids of.
-KNOWN_WORDS, KNOWN_CORES = 600_000, 800_000
+KNOWN_WORDS, KNOWN_CORES = 250_000, 400_000
 #: Closing marks that are tokens of their own after a letter.
 MARKS = frozenset((b".", b",", b"!", b"?", b";", b":"))
 SEGMENT = 1 << 20
@@ -335,7 +335,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str =
     their names can't clash.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(_piece_batches(tokenizer, capacity, with_ids), PIECES + (", ids array<long>" if with_ids else ""))
+    return arrow_map(narrow, _piece_batches(tokenizer, capacity, with_ids), PIECES + (", ids array<long>" if with_ids else ""))
 
 
 def _seated(table: dict[str, np.ndarray], names: list[str]) -> Callable:
@@ -377,4 +377,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, groups: int = 24
     within = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1).join(bases, ["length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     schema = PIECES + (", ids array<long>" if with_ids else "") + ", sequence_id long, offset long"
-    return ranked.select(*names, "_rank").mapInArrow(_seated(table, names), schema)
+    return arrow_map(ranked.select(*names, "_rank"), _seated(table, names), schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formicary.llm.shared import byte_rows, flat_bytes, materialize
+from formicary.llm.shared import arrow_map, byte_rows, flat_bytes, materialize
 from formicary.llm.wordhash import PLAIN, mix, windows, word_slices
 
 #: Labelled rows that the list is fitted on, at most about so many (a hash of the id chooses them).
@@ -116,7 +116,7 @@ def with_counts(docs: DataFrame, text_col: str = "text", prefix: str = "", keep:
 
     schema = StructType([*fields, *(StructField(x, LongType()) for x in added)])
     at = kept.index(text_col) if text_col in kept else len(kept)
-    return taken.mapInArrow(_counted(at, names, added), schema)
+    return arrow_map(taken, _counted(at, names, added), schema)
 
 
 def features(prefix: str = "") -> dict[str, Column]:
@@ -238,17 +238,24 @@ def base_failed(prefix: str = "") -> Column:
     return (n < 10) | (100 * F.col(prefix + "n_repeat_words") > 20 * n)
 
 
-def fit(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", prefix: str = "", sample_rows: int = SAMPLE_ROWS, **how) -> list[Rule]:
-    """Learn from the labelled rows of `counted` that pass the fixed minimum (label 0 is bad).
+def sampled_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(_label_id, _label) of about sample_rows distinct labels at most, chosen by a hash of their id.
 
-    At most about sample_rows rows come to the driver, chosen by a hash of their id. Null ids and null
-    labels are left out; an id with several labels gives a row for each. Without labelled rows: no rule.
+    Null ids and null labels are left out; an id with several labels gives a row for each. The bound on
+    its rows holds for labels of any size, so it may be broadcast.
     """
-    known = labels.select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("_label")).filter("_label_id is not null and _label is not null")
+    known = labels.select(F.col(id_col).cast("long").alias("_label_id"), F.col(label_col).cast("int").alias("_label")).filter("_label_id is not null and _label is not null").distinct()
     share = min(1.0, sample_rows / max(1, known.count()))
-    known = known.filter(F.pmod(F.xxhash64("_label_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    return known.filter(F.pmod(F.xxhash64("_label_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def fit(counted: DataFrame, known: DataFrame, id_col: str = "doc_id", prefix: str = "", **how) -> list[Rule]:
+    """Learn from the rows of `counted` with a label in `known` that pass the fixed minimum (label 0 is bad).
+
+    Only their features come to the driver. Without labelled rows: no rule.
+    """
     cols = features(prefix)
-    rows = counted.join(known, F.col(id_col) == F.col("_label_id")).filter(~base_failed(prefix)).select("_label", F.col(id_col).alias("_id"), *(c.alias(n) for n, c in cols.items())).toPandas().sort_values(["_id", "_label", *FEATURES])
+    rows = counted.join(F.broadcast(known), F.col(id_col) == F.col("_label_id")).filter(~base_failed(prefix)).select("_label", F.col(id_col).alias("_id"), *(c.alias(n) for n, c in cols.items())).toPandas().sort_values(["_id", "_label", *FEATURES])
     return learn({n: rows[n].to_numpy() for n in FEATURES}, rows["_label"].to_numpy() == 0, **how) if len(rows) else []
 
 
@@ -259,7 +266,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table gives none; columns of docs other than the id and the text are left out.
     """
     counted = materialize(with_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", keep=["doc_id"]), "quality")
-    rules = fit(counted, labels.withColumnRenamed(id_col, "doc_id"), **how)
+    rules = fit(counted, sampled_labels(labels, id_col), **how)
     failed = base_failed()
     rule = verdict(rules, features())
     return counted.select("doc_id", *COUNTS, failed.alias("base_failed"), rule.alias("rule")).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
@@ -269,8 +276,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of docs that pass the minimum and the list, with docs' columns as they are."""
     prefix = "__quality_"
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    wanted = labels.select(F.col(id_col).alias("doc_id")).filter("doc_id is not null").distinct()
-    labelled = materialize(with_counts(ids.join(wanted, "doc_id", "left_semi"), "text", prefix, keep=["doc_id"]), "quality")
-    rules = fit(labelled, labels.withColumnRenamed(id_col, "doc_id"), prefix=prefix, **how)
+    known = materialize(sampled_labels(labels, id_col), "labels")
+    wanted = ids.join(F.broadcast(known.select(F.col("_label_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    rules = fit(with_counts(wanted, "text", prefix, keep=["doc_id"]), known, prefix=prefix, **how)
     judged = with_counts(docs, text_col, prefix)
     return judged.filter(~base_failed(prefix) & (verdict(rules, features(prefix)) == 0)).select(*docs.columns)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from formicary.llm.ranges import count_below
+from formicary.llm.shared import arrow_map
 
 #: Sampled keys for each range; the driver holds ranges * KEYS_PER_RANGE short strings.
 KEYS_PER_RANGE = 32
@@ -124,4 +125,4 @@ def judge_urls(pages: DataFrame, rules: DataFrame, keep: list[str], url_col: str
     spread = spread.select(*(F.lit(None).cast(types[c]).alias(c) for c in kept), "host", "path", F.concat("host", "path").alias("rule"), F.col("action").alias("verdict"), "_key", F.lit(0).alias("_kind"), "_range")
     sorted_ = dealt.unionByName(spread).repartitionById(ranges, F.col("_range")).sortWithinPartitions("_key", "_kind")
     schema = StructType([*(StructField(c, types[c]) for c in kept), *(StructField(c, StringType()) for c in ("host", "path", "rule", "verdict"))])
-    return sorted_.mapInArrow(_sweep(kept, default), schema)
+    return arrow_map(sorted_, _sweep(kept, default), schema)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formicary.llm.shared import byte_rows, materialize, new_path
+from formicary.llm.shared import arrow_map, byte_rows, materialize, new_path
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 256 << 20
@@ -215,7 +215,7 @@ def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col:
     joined = rows.join(keepers, "digest", "left")
     revisit = F.col("keeper").isNotNull() & (F.coalesce(F.col("page_id") < F.col("keeper"), F.lit(True)))
     decided = joined.withColumn("refers_to", F.when(revisit, F.col("keeper"))).select("page_id", "url", "html", "digest", "bytes", "refers_to")
-    return materialize(decided.mapInArrow(_write_bundles(root, bundle_bytes), INDEX), "warc-index")
+    return materialize(arrow_map(decided, _write_bundles(root, bundle_bytes), INDEX), "warc-index")
 
 
 def _read_bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +240,7 @@ def _read_bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def read_archive(index: DataFrame) -> DataFrame:
     """Every record of the bundles that the index names, parsed and verified against its headers."""
     bundles = index.select("bundle").distinct()
-    return bundles.repartition("bundle").mapInArrow(_read_bundles, RECORDS)
+    return arrow_map(bundles.repartition("bundle"), _read_bundles, RECORDS)
 
 
 def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
