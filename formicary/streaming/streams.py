@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from formicary.operators.sketches import Dgim
 from formicary.operators.store import age_seconds, upsert
 from formicary.schema import decode
+from formicary.shipping import ship
 
 
 def ingest(messages: DataFrame, good_path: str, bad_path: str, checkpoint: str, value: str = "value", **trigger):  # noqa: ANN201  a streaming query
@@ -113,6 +114,7 @@ def _count_window(seconds: int):  # noqa: ANN202
 def dgim_counts(bits: DataFrame, seconds: int, key: str, bit: str, ts: str = "ts") -> DataFrame:
     """(key, ones, estimate): a DGIM counter for each key, kept as state of logarithmic size."""
     rows = bits.select(F.col(key).cast("string").alias("key"), F.unix_timestamp(F.col(ts).cast("timestamp")).cast("double").alias("t"), F.col(bit).cast("int").alias("bit"))
+    ship(rows.sparkSession)
     return rows.groupBy("key").applyInPandasWithState(_count_window(seconds), _COUNTER, "times array<double>, sizes array<long>, ones long", "update", GroupStateTimeout.NoTimeout)
 
 
@@ -129,6 +131,7 @@ def stream_transitions(events: DataFrame, key: str, event: str = "event", ts: st
     Within a batch events are ordered by time; batches are taken to follow each other.
     """
     rows = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(event).alias("event")).filter("t is not null and event is not null")
+    ship(rows.sparkSession)
     return rows.groupBy("key").applyInPandasWithState(_pair_up, "key string, from string, to string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
