@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from formicary.shipping import ship
+
 #: Rows that go to a Python worker at a time, at most.
 BATCH_ROWS = 1000
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -61,11 +63,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, f: Callable, schema: str | StructType) -> DataFrame:
-    """df.mapInArrow in batches of at most BATCH_ROWS rows, so that whole texts don't pile up in a worker.
+    """df.mapInArrow with this package at hand on the executors, in batches of at most BATCH_ROWS rows.
 
-    Spark reads the size from the session when the plan runs; a smaller one that is set already stays.
+    Whole texts then don't pile up in a worker. Spark reads the size from the session when the plan runs; a smaller one that is set already stays.
     """
     spark = df.sparkSession
+    ship(spark)
     if not 0 < int(spark.conf.get(_BATCH_CONF)) <= BATCH_ROWS:
         spark.conf.set(_BATCH_CONF, BATCH_ROWS)
     return df.mapInArrow(f, schema)
