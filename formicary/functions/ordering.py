@@ -22,14 +22,18 @@ def quantile_bounds(df: DataFrame, order: Column, ranges: int | None = None) ->
     return sorted(set(df.agg(F.percentile_approx(order, shares, 20 * ranges)).first()[0] or []))
 
 
-def range_number(order: Column, bounds: list[int]) -> Column:
-    """How many bounds lie below the value: a binary search in one expression. Nulls are in range 0."""
+def range_number(order: Column, bounds: list, or_equal: bool = False) -> Column:
+    """How many of the sorted bounds are < the value (or <= it): a binary search in one expression. 0 for a null."""
     if not bounds:
         return F.lit(0)
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
     array = F.array(*map(F.lit, bounds))
-    found = F.aggregate(steps, F.lit(0), lambda at, by: F.when(F.get(array, at + by - 1) < order, at + by).otherwise(at))
-    return F.coalesce(found, F.lit(0))
+
+    def step(at: Column, by: Column) -> Column:
+        there = F.get(array, at + by - 1)
+        return F.when(there <= order if or_equal else there < order, at + by).otherwise(at)
+
+    return F.coalesce(F.aggregate(steps, F.lit(0), step), F.lit(0))
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
