@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_RANGE = 20_000
-
-
-def count_below(bounds: list, value: Column, or_equal: bool = False) -> Column:
-    """How many of the sorted bounds are < value (or <= value): a binary search in one expression."""
-    if not bounds:
-        return F.lit(0)
-    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    array = F.array(*map(F.lit, bounds))
+from formicary.functions.ordering import range_number
 
-    def step(at: Column, by: Column) -> Column:
-        there = F.get(array, at + by - 1)
-        return F.when(there <= value if or_equal else there < value, at + by).otherwise(at)
-
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+ROWS_PER_RANGE = 20_000
 
 
 def descending_with_next(rows: DataFrame, order_col: str, tie_col: str) -> tuple[DataFrame, int]:
@@ -37,7 +25,7 @@ def descending_with_next(rows: DataFrame, order_col: str, tie_col: str) -> tuple
     found = rows.agg(F.percentile_approx(order_col, shares, 100 * ranges)).first()[0] if shares else []
     bounds = sorted({x for x in found or [] if x < top})
     first = bounds + [top] if top is not None else []  # the largest id of each range
-    own = F.coalesce(count_below(bounds, F.col(order_col)), F.lit(0)).cast("int")
+    own = range_number(F.col(order_col), bounds).cast("int")
     dealt = rows.withColumn("_own", own)
     # the largest ids of a range are also the ghosts of the range above it, those of the top one of range 0
     ghost = F.when(F.col(order_col) == F.get(F.array(*map(F.lit, first)), F.col("_own")), F.pmod(F.col("_own") + 1, F.lit(len(first)))) if first else F.lit(None).cast("int")

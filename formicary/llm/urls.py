@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from formicary.llm.ranges import count_below
+from formicary.functions.ordering import range_number
 from formicary.llm.shared import arrow_map
 
 #: Sampled keys for each range; the driver holds ranges * KEYS_PER_RANGE short strings.
@@ -115,12 +115,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, keep: list[str], url_col: str
     count = urls.count()
     ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // ROWS_PER_RANGE))
     bounds = range_bounds(urls, ranges)
-    first, last = count_below(bounds, F.col("_key"), False), count_below(bounds, F.col("_key"), True)
+    first, last = range_number(F.col("_key"), bounds), range_number(F.col("_key"), bounds, True)
     dealt = urls.withColumn("_first", first).withColumn("_last", last).withColumn("_range", F.col("_first") + F.pmod(F.xxhash64(*kept, "path"), F.col("_last") - F.col("_first") + 1).cast("int"))
     dealt = dealt.select(*kept, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), "_key", F.lit(1).alias("_kind"), "_range")
     given = rules.select(F.col("action"), F.translate("host", UPPER, LOWER).alias("host"), F.col("path")).dropna().withColumn("_key", reversed_host(F.col("host")))
     end = F.concat(F.expr("substring(_key, 1, length(_key) - 1)"), F.lit("/"))  # the character after the dot
-    spread = given.withColumn("_range", F.explode(F.sequence(count_below(bounds, F.col("_key"), False), count_below(bounds, end, False))))
+    spread = given.withColumn("_range", F.explode(F.sequence(range_number(F.col("_key"), bounds), range_number(end, bounds))))
     types = {f.name: f.dataType for f in pages.schema.fields}
     spread = spread.select(*(F.lit(None).cast(types[c]).alias(c) for c in kept), "host", "path", F.concat("host", "path").alias("rule"), F.col("action").alias("verdict"), "_key", F.lit(0).alias("_kind"), "_range")
     sorted_ = dealt.unionByName(spread).repartitionById(ranges, F.col("_range")).sortWithinPartitions("_key", "_kind")
