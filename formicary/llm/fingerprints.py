@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formicary.llm.neardup import groups_of_keys, nodes_of, shingle_sets
+from formicary.llm.neardup import groups_of_bands, nodes_of, shingle_sets
 from formicary.llm.ranges import descending_with_next
-from formicary.llm.shared import materialize
+from formicary.llm.shared import arrow_map, materialize
 from formicary.llm.wordhash import minhash, mix, permutations
 
 PERMUTATIONS = 128
@@ -98,7 +98,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt, ranges = descending_with_next(narrow, "doc_id", "text")
-    return dealt.mapInArrow(_with_edited(ranges == 1), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return arrow_map(dealt, _with_edited(ranges == 1), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _banded(seed: int) -> Callable:
@@ -126,8 +126,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     doc_id, n_shingles, component_id and kept, as `neardup.near_duplicates` has them.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = materialize(narrow.mapInArrow(_banded(seed), "doc_id long, n_shingles long, node long, bands array<long>"), "bands")
+    found = materialize(arrow_map(narrow, _banded(seed), "doc_id long, n_shingles long, node long, bands array<long>"), "bands")
     banded = found.filter("node is not null").select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("key")
-    keys = banded.join(shared, "key", "left_semi").select("key", "node", "n").distinct()
-    return groups_of_keys(narrow, found.select("doc_id", "n_shingles", "node"), keys, SHINGLE, similarity)
+    live = banded.join(shared, "key", "left_semi").groupBy("node").agg(F.max("n").alias("n"), F.collect_set("key").alias("first"))
+    bands = live.withColumn("second", F.array(F.lit(0).cast("long")))  # one band makes a key here
+    return groups_of_bands(narrow, found.select("doc_id", "n_shingles", "node"), bands, SHINGLE, similarity)

@@ -2,13 +2,15 @@
 
 Two collections of m short bands are hashed per document, and a table key is a pair of one band from
 each: m*m tables from 2*m bands. Two documents share a key if they agree on some band of either
-collection, so a band that no other document has needs no keys at all; keys are made only from pairs of
-shared bands.
+collection, so the tables are met in two steps: rows are dealt by the band of the first collection, m of
+them per document, and within such a bucket the key is completed by the bands of the second. Bands that no
+other document has are left out before.
 
-Documents with the same shingle set are one node. Within a bucket of a table every member is compared
-with one pivot, on full sets; the links give components. Buckets whose other members are still in
-several components are compared in full, but only across components, in blocks of bounded weight that
-return spanning links. So every link between texts of a bucket counts, and no step emits all pairs.
+Documents with the same shingle set are one node. Within a bucket every member that shares a key with
+the bucket's pivot is compared with it, on full sets; the links give components. Buckets whose other
+members are still in several components are compared in full, key by key, but only across components, in
+blocks of bounded weight that return spanning links. So every link between texts that share a key counts,
+and no step emits all pairs.
 
 A node is the 64-bit hash of its set: among n distinct sets two agree with probability n*n / 2**65.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formicary.llm.components import components
-from formicary.llm.shared import flat_bytes, materialize
+from formicary.llm.shared import arrow_map, flat_bytes, materialize
 from formicary.llm.wordhash import distinct_sets, minhash, mix, permutations, windows, word_slices
 
 #: Bands in each of the two collections, and minhashes in a band.
@@ -88,7 +90,7 @@ def _sets(size: int) -> Callable:
 
 
 def _candidate_sets(docs: DataFrame, exemplars: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the nodes in exemplars (node, doc_id), from a second look at their texts.
+    """(node, second, shingles) of the nodes in exemplars (node, second, doc_id), from a second look at their texts.
 
     A bitmap of FILTER_BITS over hashed ids keeps the other texts from being hashed again; what it lets
     through by chance goes in the join.
@@ -97,8 +99,8 @@ def _candidate_sets(docs: DataFrame, exemplars: DataFrame, size: int) -> DataFra
     word, bit = F.expr("shiftright(_slot, 6)"), F.expr("shiftleft(1L, cast(_slot & 63 as int))")
     bitmap = exemplars.select(slot.alias("_slot")).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
     likely = docs.withColumn("_slot", slot).join(F.broadcast(bitmap), word == F.col("_word")).filter(F.col("_bits").bitwiseAND(bit) != 0)
-    found = likely.select("text").mapInArrow(_sets(size), "node long, shingles array<long>")
-    return found.join(exemplars.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    found = arrow_map(likely.select("text"), _sets(size), "node long, shingles array<long>").dropDuplicates(["node"])
+    return found.join(exemplars.select("node", "second"), "node")
 
 
 class _Forest:
@@ -124,35 +126,47 @@ class _Forest:
         self.up[self.root(a)] = self.root(b)
 
 
-def spanning_links(nodes: np.ndarray, labels: np.ndarray, side: np.ndarray, values: np.ndarray, offsets: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join the labels as all links between the rows would; num/den is the least similarity.
+class _Inverted:
+    """Which rows hold each value of their lists."""
 
-    side: rows of different sides are compared, or all rows if there is one side only. Counts common
-    shingles through an inverted index, row by row, for the rows outside the most frequent label.
+    def __init__(self, values: np.ndarray, offsets: np.ndarray) -> None:
+        self.n, self.offsets = len(offsets) - 1, offsets
+        owner = np.repeat(np.arange(self.n), np.diff(offsets))
+        order = np.argsort(values, kind="stable")
+        sorted_, self.owners = values[order], owner[order]
+        self.cut = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(values) else np.zeros(0, np.int64)
+        self.width = np.diff(np.append(self.cut, len(sorted_)))
+        self.which = np.empty(len(values), np.int64)
+        self.which[order] = np.repeat(np.arange(len(self.cut)), self.width)
+
+    def common(self, y: int) -> np.ndarray:
+        """By row, how many values it has in common with row y."""
+        terms = self.which[self.offsets[y] : self.offsets[y + 1]]
+        w = self.width[terms]
+        at = np.repeat(self.cut[terms] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))
+        return np.bincount(self.owners[at], minlength=self.n)
+
+
+def spanning_links(nodes: np.ndarray, labels: np.ndarray, side: np.ndarray, seconds: _Inverted, sets: _Inverted, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join the labels as all links between rows that share a key would.
+
+    num/den is the least similarity. side: rows of different sides are compared, or all rows if there is
+    one side only. Counts common values through inverted indexes, for the rows outside the most frequent label.
     """
-    n = np.diff(offsets)
-    owner = np.repeat(np.arange(len(n)), n)
-    order = np.argsort(values, kind="stable")
-    sorted_, owners = values[order], owner[order]
-    cut = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-    width = np.diff(np.append(cut, len(sorted_)))
-    which = np.empty(len(values), np.int64)
-    which[order] = np.repeat(np.arange(len(cut)), width)
+    n = np.diff(sets.offsets)
     forest = _Forest(labels)
     names, amount = np.unique(labels, return_counts=True)
     major = names[amount.argmax()]
     out = []
     one_side = side.min() == side.max()
     for y in np.flatnonzero(labels != major):
-        terms = which[offsets[y] : offsets[y + 1]]
-        w = width[terms]
-        total = int(w.sum())
-        at = np.repeat(cut[terms] - (np.cumsum(w) - w), w) + np.arange(total)
-        common = np.bincount(owners[at], minlength=len(n))
-        hit = den * common >= num * (n + n[y] - common)
-        hit &= (forest.roots() != forest.root(y)) & (common > 0)
+        rows = (forest.roots() != forest.root(y)) & (seconds.common(y) > 0)
         if not one_side:
-            hit &= side != side[y]
+            rows &= side != side[y]
+        if not rows.any():
+            continue
+        common = sets.common(y)
+        hit = rows & (common > 0) & (den * common >= num * (n + n[y] - common))
         for x in np.flatnonzero(hit):
             if forest.root(x) != forest.root(y):
                 forest.join(x, y)
@@ -160,13 +174,15 @@ def spanning_links(nodes: np.ndarray, labels: np.ndarray, side: np.ndarray, valu
     return out
 
 
+def _inverted(column: pa.ChunkedArray) -> _Inverted:
+    lists = column.combine_chunks()
+    offsets = np.asarray(lists.offsets).astype(np.int64)
+    return _Inverted(np.asarray(lists.values)[offsets[0] : offsets[-1]], offsets - offsets[0])
+
+
 def _compare_blocks(num: int, den: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        shingles = table.column("shingles").combine_chunks()
-        offsets = np.asarray(shingles.offsets)
-        values = np.asarray(shingles.values)[offsets[0] : offsets[-1]]
-        links = spanning_links(*(table.column(c).to_numpy() for c in ("node", "label", "_side")), values, offsets - offsets[0], num, den)
+        links = spanning_links(*(table.column(c).to_numpy() for c in ("node", "label", "_side")), _inverted(table.column("second")), _inverted(table.column("shingles")), num, den)
         return pa.table({"u": pa.array([x[0] for x in links], pa.int64()), "v": pa.array([x[1] for x in links], pa.int64())})
 
     return run
@@ -174,13 +190,13 @@ def _compare_blocks(num: int, den: int) -> Callable:
 
 def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (u, v) between non-pivot members of a bucket that are in different components so far."""
-    labelled = members.filter("node <> pivot").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).select("key", "node", "n", "label")
-    state = labelled.groupBy("key").agg(F.count("*").alias("_n"), F.min("label").alias("_a"), F.max("label").alias("_b"), F.min("node").alias("_c"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.sum("n").alias("_weight")).filter("_a < _b")
-    once = state.groupBy("_n", "_c", "_x").agg(F.min("key").alias("key"), F.max("_weight").alias("_weight"))
-    open_ = labelled.join(once.select("key", F.ceil(F.col("_weight") / BLOCK_SHINGLES).cast("int").alias("_blocks")), "key")
+    labelled = members.filter("node <> pivot").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).select("bucket", "node", "n", "label")
+    state = labelled.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("label").alias("_a"), F.max("label").alias("_b"), F.min("node").alias("_c"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.sum("n").alias("_weight")).filter("_a < _b")
+    once = state.groupBy("_n", "_c", "_x").agg(F.min("bucket").alias("bucket"), F.max("_weight").alias("_weight"))
+    open_ = labelled.join(once.select("bucket", F.ceil(F.col("_weight") / BLOCK_SHINGLES).cast("int").alias("_blocks")), "bucket")
     dealt = open_.withColumn("_side", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.withColumn("_lo", F.least("_side", "_other")).withColumn("_hi", F.greatest("_side", "_other")).select("key", "_lo", "_hi", "node", "label", "_side")
-    return dealt.join(sets, "node").groupBy("key", "_lo", "_hi").applyInArrow(_compare_blocks(num, den), "u long, v long")
+    dealt = dealt.withColumn("_lo", F.least("_side", "_other")).withColumn("_hi", F.greatest("_side", "_other")).select("bucket", "_lo", "_hi", "node", "label", "_side")
+    return dealt.join(sets, "node").groupBy("bucket", "_lo", "_hi").applyInArrow(_compare_blocks(num, den), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> DataFrame:
@@ -194,36 +210,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts are equal. An empty table gives no rows; other columns of docs are left out.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = materialize(narrow.mapInArrow(_signatures(shingle, bands, rows, seed), SIGNATURE), "signatures")
+    found = materialize(arrow_map(narrow, _signatures(shingle, bands, rows, seed), SIGNATURE), "signatures")
     some = found.filter("node is not null")
 
     halves = some.select("node", F.col("n_shingles").alias("n"), F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("half")
     live = halves.join(shared, "half", "left_semi")
-    tensor = live.groupBy("node").agg(F.max("n").alias("n"), F.collect_set(F.when(F.col("half") % 2 == 0, F.col("half"))).alias("_one"), F.collect_set(F.when(F.col("half") % 2 != 0, F.col("half"))).alias("_two"))
-    keys = tensor.select("node", "n", "_two", F.explode("_one").alias("_first")).select("node", "n", "_first", F.explode("_two").alias("_second")).select(F.xxhash64("_first", "_second").alias("key"), "node", "n")
-    return groups_of_keys(narrow, found.select("doc_id", "n_shingles", "node"), keys, shingle, similarity)
+    bands = live.groupBy("node").agg(F.max("n").alias("n"), F.collect_set(F.when(F.col("half") % 2 == 0, F.col("half"))).alias("first"), F.collect_set(F.when(F.col("half") % 2 != 0, F.col("half"))).alias("second"))
+    return groups_of_bands(narrow, found.select("doc_id", "n_shingles", "node"), bands.filter("size(first) > 0 and size(second) > 0"), shingle, similarity)
 
 
-def groups_of_keys(narrow: DataFrame, found: DataFrame, keys: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for the links within the buckets of a banding.
+def groups_of_bands(narrow: DataFrame, found: DataFrame, bands: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for the links between documents that share a table key.
 
-    narrow (doc_id, text) has the texts; found (doc_id, n_shingles, node) a row for each of them; keys
-    (key, node, n) the buckets that each node is in, a row for each pair at most.
+    narrow (doc_id, text) has the texts; found (doc_id, n_shingles, node) a row for each of them; bands
+    (node, n, first, second) the shared bands of each node: a key is one of `first` with one of `second`.
     """
     num, den = similarity
     some = found.filter("node is not null")
-    keys = materialize(keys, "keys")
-    buckets = keys.groupBy("key").agg(F.count("*").alias("_n"), F.min("node").alias("pivot"), F.max("node").alias("_last"), F.bit_xor(F.xxhash64("node")).alias("_x")).filter("_n > 1")
-    buckets = buckets.groupBy("pivot", "_last", "_n", "_x").agg(F.min("key").alias("key")).select("key", "pivot")  # of buckets with the same members, one
-    members = materialize(keys.join(buckets, "key"), "members")
-
-    candidates = members.select("node").distinct()
-    exemplars = materialize(some.select("node", "doc_id").join(candidates, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "exemplars")
+    bands = materialize(bands, "bands")
+    rows = bands.select("node", "n", F.explode("first").alias("bucket"))
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("node").alias("pivot"), F.max("node").alias("_last"), F.bit_xor(F.xxhash64("node")).alias("_x")).filter("_n > 1")
+    buckets = buckets.groupBy("pivot", "_last", "_n", "_x").agg(F.min("bucket").alias("bucket")).select("bucket", "pivot")  # of buckets with the same members, one
+    members = materialize(rows.join(buckets, "bucket"), "members")
+
+    exemplars = some.select("node", "doc_id").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    exemplars = materialize(exemplars.join(bands.select("node", "second"), "node"), "exemplars")
     sets = materialize(_candidate_sets(narrow, exemplars, shingle), "sets")
 
     pairs = members.filter("node <> pivot").select("pivot", "node").distinct()
-    both = pairs.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("_p")), "pivot").join(sets.select("node", F.col("shingles").alias("_s")), "node")
+    keyed = pairs.join(bands.select(F.col("node").alias("pivot"), F.col("second").alias("_k")), "pivot").join(bands.select("node", "second"), "node").filter(F.arrays_overlap("_k", "second")).select("pivot", "node")
+    both = keyed.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("_p")), "pivot").join(sets.select("node", F.col("shingles").alias("_s")), "node")
     common = F.size(F.array_intersect("_p", "_s"))
     linked = both.withColumn("_common", common).filter(den * F.col("_common") >= num * (F.size("_p") + F.size("_s") - F.col("_common")))
     links = materialize(linked.select(F.col("pivot").alias("u"), F.col("node").alias("v")), "links")
