@@ -48,7 +48,7 @@ def test_bundles_are_plain_zstandard(spark):
     """Any Zstandard reader gets the records one after the other; the seek table is a frame it skips."""
     index = write_archive(frame(spark, ROWS, SCHEMA).coalesce(1), new_path(spark, "warc"))
     (path,) = {r.bundle for r in index.collect()}
-    data = open(path.removeprefix("file://"), "rb").read()
+    data = open(path.removeprefix("file:"), "rb").read()
     whole = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
     assert len(list(parse_records(whole))) == len(ROWS)
 
