@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -45,10 +47,10 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of ours, if the session that wrote it is still there."""
     sc = spark.sparkContext
-    if sc._jsc is None or sc._jsc.sc().isStopped():
-        return
-    target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    with contextlib.suppress(Py4JError, OSError):  # Spark may end at any moment before
+        if sc._jsc is not None and not sc._jsc.sc().isStopped():
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
