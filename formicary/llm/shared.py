@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -38,19 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path under the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/formicary-{tag}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
+    """A fresh path under the shared folder."""
+    return f"{shared_dir(spark)}/formicary-{tag}-{uuid.uuid4().hex}"
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of ours, if the session that wrote it is still there."""
-    sc = spark.sparkContext
-    with contextlib.suppress(Py4JError, OSError):  # Spark may end at any moment before
-        if sc._jsc is not None and not sc._jsc.sc().isStopped():
-            target = sc._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's JVM delete a path that was written, when it ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -61,6 +53,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formicary.llm.shared import arrow_map, byte_rows, materialize, new_path
+from formicary.llm.shared import arrow_map, byte_rows, delete_on_exit, materialize, new_path
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 256 << 20
@@ -245,4 +245,7 @@ def read_archive(index: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
     """Write pages as an archive in the shared folder and read all of it again."""
-    return read_archive(write_archive(pages, new_path(pages.sparkSession, "warc"), **columns))
+    root = new_path(pages.sparkSession, "warc")
+    index = write_archive(pages, root, **columns)
+    delete_on_exit(pages.sparkSession, root)
+    return read_archive(index)
