@@ -28,13 +28,18 @@ def bloom_size(n: int, p: float = 0.03) -> tuple[int, int]:
     return bits, int(bits / n * math.log(2))
 
 
+def _spread(keys: DataFrame) -> DataFrame:
+    """Distinct keys dealt over all tasks: few rows, but each is about to be hashed many times."""
+    return keys.distinct().repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def key_of(*columns: str) -> Column:
     return F.concat_ws("_", *columns)
 
 
 def bloom_positions(keys: DataFrame, key: str, bits: int, hashes: int) -> DataFrame:
     """(key, bit) for the distinct keys."""
-    spread = keys.select(key).distinct().withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))))
+    spread = _spread(keys.select(key)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))))
     return spread.select(key, (hash_value(F.col("_i"), F.col(key)) % bits).alias("bit"))
 
 
@@ -60,7 +65,7 @@ HASHES = 128
 
 def minhash(rows: DataFrame, sets: list[str], key: str, hashes: int = HASHES) -> DataFrame:
     """(sets..., i, min_hash) of each set's distinct keys, as eight hex digits."""
-    spread = rows.select(*sets, key).distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))))
+    spread = _spread(rows.select(*sets, key)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))))
     return spread.groupBy(*sets, "i").agg(F.min(hex_hash(F.col("i"), F.col(key))).alias("min_hash"))
 
 
@@ -100,7 +105,7 @@ def representatives(rows: DataFrame, key: str, order: str, size: int, hashes: in
 def redundancy(window: DataFrame, candidates: DataFrame, key: str, threshold: float = 0.5, hashes: int = HASHES) -> DataFrame:
     """(key, similarity, label): a candidate set of one key against the window's set; `redundant` or `new`."""
     have = minhash(window.withColumn("_set", F.lit(0)), ["_set"], key, hashes).select("i", "min_hash")
-    asked = candidates.select(key).distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1)))).withColumn("_h", hex_hash(F.col("i"), F.col(key)))
+    asked = _spread(candidates.select(key)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1)))).withColumn("_h", hex_hash(F.col("i"), F.col(key)))
     met = asked.join(F.broadcast(have), "i", "left").groupBy(key).agg((F.count_if(F.col("_h") == F.col("min_hash")) / hashes).alias("similarity"))
     return met.withColumn("label", F.when(F.col("similarity") >= threshold, "redundant").otherwise("new"))
 

@@ -54,7 +54,9 @@ def decode(messages: DataFrame, value: str = "value") -> tuple[DataFrame, DataFr
     """
     with_bad = T.StructType([*EVENT_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
     rest = [c for c in messages.columns if c != value]
-    parsed = messages.select(*rest, F.col(value).cast("string").alias("_message")).withColumn("_r", F.from_json("_message", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    record = F.from_json("_message", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    # the generator is a barrier: without it the optimizer copies the parser into every field and filter
+    parsed = messages.select(*rest, F.col(value).cast("string").alias("_message")).withColumn("_r", F.explode(F.array(record)))
     flat = flatten(parsed.select("_r.*", "_message", *rest))
     missing = F.array_join(F.filter(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED)), lambda x: x.isNotNull()), ",")
     reason = F.when(F.col(CORRUPT).isNotNull() | F.col("_message").isNull(), F.lit("corrupt")).when(missing != "", F.concat(F.lit("missing "), missing))
