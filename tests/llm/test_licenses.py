@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import textwrap
+
+import pytest
 from pyspark.sql import functions as F
 
 from formicary.llm import licenses
@@ -42,3 +45,19 @@ def test_no_python_in_the_plan_and_no_shuffle_of_texts(spark):
     assert "Python" not in plan and "Arrow" not in plan
     assert licenses.scan(frame(spark, [])).collect() == []
     assert licenses.known_digests(spark).filter(F.col("license").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("width", [12, 30, 40, 60, 66, 72, 76, 80, 100, 200])
+def test_known_texts_are_found_at_any_width(spark, width):
+    heads = ["", "Copyright (c) 2020, Somebody\nAll rights reserved.\n\n", "Copyright Some Body Inc.\nCopyright The Other Authors\n\n", "\n © Copyright 2019 me\n\n"]
+    wrapped = ["\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in t.split("\n\n")) for _, t in licenses.TEXTS]
+    rows = [(k * len(heads) + j, head + t, None, None, None) for k, t in enumerate(wrapped) for j, head in enumerate(heads)]
+    got = {r.doc_id: r.license for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {k * len(heads) + j: name for k, (name, _) in enumerate(licenses.TEXTS) for j in range(len(heads))}
+
+
+def test_isc_as_commonly_published(spark):
+    isc = next(t for name, t in licenses.TEXTS if name == "ISC").replace("above copyright", "above\ncopyright")
+    rows = [(1, isc, None, None, None), (2, "ISC text of\nCopyright law and\ncopyright Foo", None, None, None), (3, "Some License\nCopyright Foo\nPortions copyright Bar\nx", None, None, None)]
+    got = {r.doc_id: (r.license, r.n_canonical) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {1: ("ISC", got[1][1]), 2: (None, len("isc text of copyright law and copyright foo")), 3: (None, len("some license x"))}
