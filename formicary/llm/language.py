@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from formicary.llm.shared import arrow_map, byte_rows
 
-#: Labelled rows that the model is fitted on, at most about so many (a hash of the id chooses them).
+#: Labelled rows that the model is fitted on, at most about so many (a hash of the id chooses them), or LEAST_ROWS a language.
 SAMPLE_ROWS = 12_000
+LEAST_ROWS = 50
 BITS = 15
 BINS = 1 << BITS
 ORDERS = (2, 3)
 UNKNOWN = "und"
+DRAWS = 1 << 40
 SLICE = 1 << 19
 
 #: ASCII letters are folded; other ASCII becomes a space; bytes of longer code points stay.
@@ -163,19 +165,36 @@ def build(languages: list[str], counts: np.ndarray, smoothing: float = 0.5) -> M
     return Model(languages, codes, weights.astype(np.float32), bit_weight, scale)
 
 
+def even_part(sizes: list[int], rows: int) -> int:
+    """How many rows each of the rising `sizes` gives at most, so that they give `rows` in all; LEAST_ROWS at least."""
+    left = rows
+    for k, n in enumerate(sizes):
+        if n * (len(sizes) - k) > left:
+            return max(LEAST_ROWS, left // (len(sizes) - k))
+        left -= n
+    return max(LEAST_ROWS, rows)
+
+
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, min_texts: int = 5) -> Model:
-    """Learn from about sample_rows rows of `train` at most, chosen by a hash of their id.
+    """Learn from about sample_rows rows of `train` at most, chosen by a hash of their id, as many of each language.
 
-    Null languages are left out, and languages of fewer than min_texts texts unless none has more.
+    Languages with fewer rows than their part give all they have. Null languages are left out, and languages of
+    fewer than min_texts texts in all of `train` unless none has more.
     Without any labelled text the model has no language and answers `und`.
     """
     known = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("_h")).filter("lang is not null")
-    share = min(1.0, sample_rows / max(1, known.count()))
-    chosen = known.filter(F.pmod("_h", F.lit(1_000_000)) < int(share * 1_000_000)).select("lang", "text")
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
+    most = even_part(sorted(sizes.values()), sample_rows)
+    share = {x: min(1.0, most / n) for x, n in sizes.items()}
+    part = [(x, int(s * DRAWS)) for x, s in share.items() if s < 1]
+    if part:
+        bound = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for pair in part for v in pair)), F.col("lang")), F.lit(DRAWS))
+        known = known.filter(F.pmod("_h", F.lit(DRAWS)) < bound)
+    chosen = known.select("lang", "text")
     grams = arrow_map(chosen, _count_grams, "lang string, bin long, n long")
     rows = grams.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()  # languages x BINS at most
     texts = {r.lang: r.n for r in rows[rows["bin"] < 0].itertuples()}
-    languages = sorted(x for x, n in texts.items() if n >= min_texts) or sorted(texts)
+    languages = sorted(x for x, n in texts.items() if n >= min_texts * share[x]) or sorted(texts)
     counts = np.zeros((len(languages), BINS))
     rows = rows[(rows["bin"] >= 0) & rows["lang"].isin(languages)]
     counts[rows["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy(int), rows["bin"].to_numpy()] = rows["n"]

@@ -75,3 +75,18 @@ def test_long_texts_are_read_whole():
     model.weights = np.ones_like(model.weights)
     assert abs(model.margins(text)[0] - 1) < 1e-6
     assert b"".join(language.slices(("é" * 400_000).encode())) == ("é" * 400_000).encode()
+
+
+def test_rare_languages_stay_in_the_model_of_a_large_table(spark):
+    rare = [r for r in sample(400, 3) if r[2] == "vv"][:20]
+    train = [r for r in sample(1200, 4) if r[2] != "vv"] + [(9000 + k, *r[1:]) for k, r in enumerate(rare)]
+    model = language.fit(frame(spark, train), sample_rows=100)
+    assert model.languages == ["vv", "xx", "yy", "zz"]
+    assert [model.predict(r[1].encode())[0] for r in rare] == ["vv"] * 20
+    assert language.fit(frame(spark, train[:-16]), sample_rows=100).languages == ["xx", "yy", "zz"]
+
+
+def test_parts_are_even():
+    assert language.even_part([3, 10, 1000], 10_000) == 10_000
+    assert language.even_part([100, 9000, 9000], 12_000) == 5950
+    assert language.even_part([10**6] * 1000, 12_000) == language.LEAST_ROWS
