@@ -17,12 +17,14 @@ A node is the 64-bit hash of its set: among n distinct sets two agree with proba
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from formicary.llm.components import components
 from formicary.llm.shared import arrow_map, flat_bytes, materialize
@@ -199,7 +201,7 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, num: int, de
     return dealt.join(sets, "node").groupBy("bucket", "_lo", "_hi").applyInArrow(_compare_blocks(num, den), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS, seed: int = 1, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of docs.
 
     A document's set: its distinct shingles of lower-cased words, the whole sequence as one if it has
@@ -207,7 +209,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the smallest id that is reachable by links, itself included. Nulls, empty texts and texts without words
     have no shingles and link with nothing. kept: doc_id = component_id; rows without an id take part,
     are kept only where no row of their group has one, and repeated ids share their verdict if their
-    texts are equal. An empty table gives no rows; other columns of docs are left out.
+    texts are equal. An empty table gives no rows; other columns of docs are left out. carried: more columns
+    to return, of node (the set's hash) and _group (that of the component).
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = materialize(arrow_map(narrow, _signatures(shingle, bands, rows, seed), SIGNATURE), "signatures")
@@ -217,10 +220,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = halves.groupBy("half").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("half")
     live = halves.join(shared, "half", "left_semi")
     bands = live.groupBy("node").agg(F.max("n").alias("n"), F.collect_set(F.when(F.col("half") % 2 == 0, F.col("half"))).alias("first"), F.collect_set(F.when(F.col("half") % 2 != 0, F.col("half"))).alias("second"))
-    return groups_of_bands(narrow, found.select("doc_id", "n_shingles", "node"), bands.filter("size(first) > 0 and size(second) > 0"), shingle, similarity)
+    return groups_of_bands(narrow, found.select("doc_id", "n_shingles", "node"), bands.filter("size(first) > 0 and size(second) > 0"), shingle, similarity, carried)
 
 
-def groups_of_bands(narrow: DataFrame, found: DataFrame, bands: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+def groups_of_bands(narrow: DataFrame, found: DataFrame, bands: DataFrame, shingle: int, similarity: tuple[int, int], carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for the links between documents that share a table key.
 
     narrow (doc_id, text) has the texts; found (doc_id, n_shingles, node) a row for each of them; bands
@@ -248,17 +251,46 @@ def groups_of_bands(narrow: DataFrame, found: DataFrame, bands: DataFrame, shing
     labels = components(links.union(more))
 
     named = found.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("_group", F.coalesce("component", "node"))
-    named = materialize(named.select("doc_id", "n_shingles", "_group"), "groups")
+    named = materialize(named.select("doc_id", "n_shingles", *(c for c in carried if c != "_group"), "_group"), "groups")
     least = named.filter("_group is not null").groupBy("_group").agg(F.min("doc_id").alias("_least"))
     out = named.join(least, "_group", "left").withColumn("component_id", F.when(F.col("_group").isNull(), F.col("doc_id")).otherwise(F.col("_least")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), *carried)
+
+
+def _noded(text_at: int, size: int) -> Callable:
+    """The rows with their node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, sets, offsets in shingle_sets(batch.column(text_at), size):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes_of(sets, offsets), mask=np.diff(offsets) == 0)], [*batch.schema.names, "__node"])
+
+    return run
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the documents that have a near-duplicate with a smaller id; columns as they are.
 
-    Rows that repeat an id share its verdict; rows without an id can't be named and stay.
+    Rows that repeat an id are told apart by their texts: of those that are near-duplicates one stays, the rest
+    are documents of their own. Rows without an id can't be named and stay.
     """
-    verdicts = near_duplicates(docs, id_col, text_col, **how)
-    dropped = verdicts.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col("_dropped"), "left_anti")
+    verdicts = materialize(near_duplicates(docs, id_col, text_col, carried=("node", "_group"), **how), "verdicts").filter("doc_id is not null")
+    key = F.col(id_col).cast("long")
+    dropped = verdicts.filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    repeated = materialize(verdicts.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return docs.join(dropped, key == F.col("_dropped"), "left_anti")
+
+    named = repeated.select(F.col("doc_id").alias("_repeated"))
+    once = docs.join(named.union(dropped).distinct(), key == F.col("_repeated"), "left_anti")
+    # a group's document is that with its least id and, of that id's texts, the least node
+    chosen = verdicts.join(repeated, "doc_id", "left_semi").filter("kept and node is not null").groupBy("_group").agg(F.min("doc_id").alias("_id"), F.min("node").alias("_node"))
+    size = how.get("shingle", inspect.signature(near_duplicates).parameters["shingle"].default)
+    again = docs.join(named, key == F.col("_repeated"), "left_semi")
+    again = arrow_map(again, _noded(docs.columns.index(text_col), size), StructType([*docs.schema.fields, StructField("__node", LongType())]))
+    again = materialize(again, "again")
+    first = F.struct(F.col(text_col), F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind)))
+    row = F.min_by(F.struct(*docs.columns), first).alias("_row")
+    found = again.join(chosen, (key == F.col("_id")) & (F.col("__node") == F.col("_node"))).groupBy("_id", "_node").agg(row).select("_row.*")
+    return once.union(again.filter("__node is null").select(*docs.columns)).union(found)

@@ -84,6 +84,15 @@ def test_keep_one_keeps_the_columns(spark):
     assert not {10, 11} & kept
 
 
+def test_keep_one_tells_the_texts_of_an_id_apart(spark):
+    one, near, other, more = " ".join(words(1, 60)), " ".join(words(1, 60)[:-1]), " ".join(words(2, 60)), " ".join(words(3, 60))
+    texts = [(1, one), (1, one), (1, one.replace(" ", "  ")), (1, near), (2, near), (2, other), (3, other), (4, more), (5, None), (5, None), (2, other)]
+    out = neardup.keep_one(frame(spark, [(i, t, "en", f"s{k}", k) for k, (i, t) in enumerate(texts)]))
+    assert out.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    got = sorted(((r.doc_id, " ".join((r.text or "").split())) for r in out.collect()))
+    assert got in [[(1, x), (2, other), (4, more), (5, ""), (5, "")] for x in (one, near)]
+
+
 def test_components_of_chains_and_cycles(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(50, 51), (51, 52), (52, 50), (60, 60), (51, 50)]
     got = dict(rows_of(components(spark.createDataFrame(edges, "u long, v long"))))
