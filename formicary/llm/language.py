@@ -205,6 +205,9 @@ def _predicted(shared, text_at: int, names: list[str], keep_known: bool) -> Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
+            if keep_known and not model.languages:
+                yield batch.filter(pa.array([x is not None and has_letter(x) for x in byte_rows(batch.column(text_at))], pa.bool_()))
+                continue
             got = [model.predict(x) for x in byte_rows(batch.column(text_at))]
             if keep_known:
                 yield batch.filter(pa.array([not (g[0] == UNKNOWN or g[2]) for g in got], pa.bool_()))
@@ -230,6 +233,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text has a language and isn't ambiguous, with docs' columns as they are."""
+    """The rows of docs whose text has a language and isn't ambiguous, with docs' columns as they are.
+
+    A model without languages tells nothing of a text, and then every text with a letter stays.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return arrow_map(docs, _predicted(shared, docs.columns.index(text_col), docs.columns, True), docs.schema)

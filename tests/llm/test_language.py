@@ -90,3 +90,9 @@ def test_parts_are_even():
     assert language.even_part([3, 10, 1000], 10_000) == 10_000
     assert language.even_part([100, 9000, 9000], 12_000) == 5950
     assert language.even_part([10**6] * 1000, 12_000) == language.LEAST_ROWS
+
+
+def test_without_labels_every_text_with_a_letter_stays(spark):
+    rows = [(k, t, None, None, 1) for k, t in enumerate(["abc", None, "", "12 34", "日本", "é"])]
+    docs = frame(spark, rows)
+    assert sorted(r.doc_id for r in language.keep_identified(docs, language.fit(docs)).collect()) == [0, 4, 5]
