@@ -344,7 +344,8 @@ SELECT DISTINCT a AS state FROM reach WHERE a = b""")
 def recurrent_states(org: DataFrame) -> DataFrame:
     """States on a cycle of transitions with p > 0.2 (reference mode)."""
     chain = markov.transitions(org)
-    return markov.on_cycle(chain.filter("p > 0.2"), 5).distinct()
+    states = org.filter("ts is not null and event is not null").select("event").distinct().count()
+    return markov.on_cycle(chain.filter("p > 0.2"), states).distinct()
 
 
 @query()

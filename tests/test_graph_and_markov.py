@@ -137,3 +137,15 @@ def test_every_request_of_the_engine(spark):
         engine.run("drop")
     with pytest.raises(ValueError, match="unknown window"):
         engine.run("cantidad", window="9min")
+
+
+def test_long_cycles_are_found(spark):
+    import datetime as dt
+
+    from formicary.plans import queries
+
+    at = dt.datetime(2024, 1, 1)
+    rows = [(at + dt.timedelta(minutes=k), f"e{k % 12:02}") for k in range(37)]
+    org = spark.createDataFrame(rows, "ts timestamp, event string")
+    found = getattr(queries.recurrent_states, "__wrapped__", queries.recurrent_states)(org)
+    assert sorted(r.state for r in found.collect()) == [f"e{k:02}" for k in range(12)]
