@@ -15,19 +15,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from formicary.llm.shared import arrow_map, byte_rows
+from formicary.llm.shared import arrow_map, byte_rows, draw, draw_bound
 
-#: Labelled rows that the model is fitted on, at most about so many (a hash of the id chooses them), or LEAST_ROWS a language.
+#: Labelled rows that the model is fitted on, at most so many (a hash of id and text chooses them), or LEAST_ROWS a language.
 SAMPLE_ROWS = 12_000
 LEAST_ROWS = 50
+#: So many times the wanted rows are drawn by their hash before the least hashes of them are taken.
+SPARE = 2.0
 BITS = 15
 BINS = 1 << BITS
 ORDERS = (2, 3)
 UNKNOWN = "und"
-DRAWS = 1 << 40
 SLICE = 1 << 19
 
 #: ASCII letters are folded; other ASCII becomes a space; bytes of longer code points stay.
@@ -136,14 +137,14 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, np.ndarray] = {}
     texts: dict[str, int] = {}
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1)), strict=True):
+        for lang, text, copies in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             if text is None or not has_letter(text):
                 continue
             counts = held.setdefault(lang, np.zeros(BINS, np.int64))
             for part in slices(text):
                 for bins in gram_bins(mapped(part)):
                     counts += np.bincount(bins, minlength=BINS)
-            texts[lang] = texts.get(lang, 0) + 1
+            texts[lang] = texts.get(lang, 0) + copies
     for lang, counts in held.items():
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(some) + 1)), pa.array(np.append(some, -1)), pa.array(np.append(counts[some], texts[lang]))], ["lang", "bin", "n"])
@@ -175,22 +176,32 @@ def even_part(sizes: list[int], rows: int) -> int:
     return max(LEAST_ROWS, rows)
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, min_texts: int = 5) -> Model:
-    """Learn from about sample_rows rows of `train` at most, chosen by a hash of their id, as many of each language.
+def sampled(train: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int) -> tuple[DataFrame, dict[str, float]]:
+    """(lang, text, copies) of at most sample_rows rows of `train`, and the share of each language's rows that this is.
 
-    Languages with fewer rows than their part give all they have. Null languages are left out, and languages of
-    fewer than min_texts texts in all of `train` unless none has more.
-    Without any labelled text the model has no language and answers `und`.
+    A language gives the rows with its least hashes of id and text, as many as each other one; one with fewer rows
+    gives all. Rows that repeat id and text are one, however many there are, and null ids are told apart by
+    their texts. A first pass counts each language's rows; the second keeps what may be among the least hashes.
     """
-    known = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("_h")).filter("lang is not null")
+    known = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("_h")).filter("lang is not null")
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
     most = even_part(sorted(sizes.values()), sample_rows)
-    share = {x: min(1.0, most / n) for x, n in sizes.items()}
-    part = [(x, int(s * DRAWS)) for x, s in share.items() if s < 1]
-    if part:
-        bound = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for pair in part for v in pair)), F.col("lang")), F.lit(DRAWS))
-        known = known.filter(F.pmod("_h", F.lit(DRAWS)) < bound)
-    chosen = known.select("lang", "text")
+    bounds = {x: draw_bound(SPARE * most / n) for x, n in sizes.items() if n > SPARE * most}
+    if bounds:
+        bound = F.try_element_at(F.create_map(*(F.lit(v) for pair in bounds.items() for v in pair)), F.col("lang"))
+        known = known.filter(bound.isNull() | (draw(F.col("_h")) < bound))
+    once = known.groupBy("lang", "_h").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    least = once.withColumn("_place", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).filter(F.col("_place") <= most)
+    return least.select("lang", "text", "copies"), {x: min(1.0, most / n) for x, n in sizes.items()}
+
+
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, min_texts: int = 5) -> Model:
+    """Learn from `sampled` rows of `train`.
+
+    Null languages are left out, and languages of fewer than min_texts texts in all of `train` unless none has more.
+    Without any labelled text the model has no language and answers `und`.
+    """
+    chosen, share = sampled(train, id_col, text_col, lang_col, sample_rows)
     grams = arrow_map(chosen, _count_grams, "lang string, bin long, n long")
     rows = grams.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()  # languages x BINS at most
     texts = {r.lang: r.n for r in rows[rows["bin"] < 0].itertuples()}

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formicary.llm.shared import arrow_map, byte_rows, flat_bytes, materialize
+from formicary.llm.shared import arrow_map, byte_rows, draw, draw_bound, flat_bytes, materialize
 from formicary.llm.wordhash import PLAIN, mix, windows, word_slices
 
-#: Labelled rows that the list is fitted on, at most about so many (a hash of the id chooses them).
+#: Labelled rows that the list is fitted on, at most so many (a hash of id and label chooses them).
 SAMPLE_ROWS = 20_000
 
 WS = b" \t\n\x0b\x0c\r"
@@ -239,24 +239,28 @@ def base_failed(prefix: str = "") -> Column:
 
 
 def sampled_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(_label_id, _label) of about sample_rows distinct labels at most, chosen by a hash of their id.
+    """(_label_id, _label): the distinct labels with the least hashes, at most sample_rows.
 
-    Null ids and null labels are left out; an id with several labels gives a row for each. The bound on
-    its rows holds for labels of any size, so it may be broadcast.
+    Null ids and null labels are left out; an id with several labels gives a row for each. The bound holds for
+    labels of any size and with any repeats, so its rows may be broadcast.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("_label_id"), F.col(label_col).cast("int").alias("_label")).filter("_label_id is not null and _label is not null").distinct()
-    share = min(1.0, sample_rows / max(1, known.count()))
-    return known.filter(F.pmod(F.xxhash64("_label_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = labels.select(F.col(id_col).cast("long").alias("_label_id"), F.col(label_col).cast("int").alias("_label")).filter("_label_id is not null and _label is not null").withColumn("_h", F.xxhash64("_label_id", "_label"))
+    distinct = known.agg(F.approx_count_distinct("_h")).first()[0]
+    likely = known.filter(draw(F.col("_h")) <= draw_bound(1.5 * sample_rows / max(1, distinct)))
+    return likely.distinct().orderBy("_h", "_label_id", "_label").limit(sample_rows).drop("_h")
 
 
-def fit(counted: DataFrame, known: DataFrame, id_col: str = "doc_id", prefix: str = "", **how) -> list[Rule]:
+def fit(counted: DataFrame, known: DataFrame, id_col: str = "doc_id", prefix: str = "", sample_rows: int = SAMPLE_ROWS, **how) -> list[Rule]:
     """Learn from the rows of `counted` with a label in `known` that pass the fixed minimum (label 0 is bad).
 
-    Only their features come to the driver. Without labelled rows: no rule.
+    Only their features come to the driver, of rows that are alike in id, label and features one, and of more than
+    sample_rows (ids can repeat) those with the least hashes. Without labelled rows: no rule.
     """
     cols = features(prefix)
-    rows = counted.join(F.broadcast(known), F.col(id_col) == F.col("_label_id")).filter(~base_failed(prefix)).select("_label", F.col(id_col).alias("_id"), *(c.alias(n) for n, c in cols.items())).toPandas().sort_values(["_id", "_label", *FEATURES])
-    return learn({n: rows[n].to_numpy() for n in FEATURES}, rows["_label"].to_numpy() == 0, **how) if len(rows) else []
+    rows = counted.join(F.broadcast(known), F.col(id_col) == F.col("_label_id")).filter(~base_failed(prefix)).select("_label", F.col(id_col).alias("_id"), *(c.alias(n) for n, c in cols.items())).distinct()
+    names = ["_id", "_label", *FEATURES]
+    found = rows.orderBy(F.xxhash64(*names), *names).limit(sample_rows).toPandas().sort_values(names)
+    return learn({n: found[n].to_numpy() for n in FEATURES}, found["_label"].to_numpy() == 0, **how) if len(found) else []
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

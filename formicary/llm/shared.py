@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from formicary.shipping import ship
@@ -23,12 +24,16 @@ _local_fallback: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests).
 
-    With its scheme, so that Spark and other readers mean the same store by it.
+    With its scheme, so that Spark and other readers mean the same store by it. Only a local master may leave it
+    unset: executors elsewhere would write to disks of their own, and the driver would read a part.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         target = spark._jvm.org.apache.hadoop.fs.Path(found)
         return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and the executors of {master} share")
     if "dir" not in _local_fallback:
         _local_fallback["dir"] = "file://" + tempfile.mkdtemp(prefix="formicary-")
     return _local_fallback["dir"]
@@ -57,6 +62,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def draw(h: Column) -> Column:
+    """A 64-bit hash as a number from 0 to 2**63 - 1."""
+    return F.shiftrightunsigned(h, 1)
+
+
+def draw_bound(share: float) -> int:
+    """What a share of all draws is below; the whole hash counts, so no share is too small."""
+    return min(int(share * (1 << 63)), (1 << 63) - 1)
+
+
 def arrow_map(df: DataFrame, f: Callable, schema: str | StructType) -> DataFrame:
     """df.mapInArrow with this package at hand on the executors, in batches of at most BATCH_ROWS rows.
 

@@ -96,3 +96,28 @@ def test_without_labels_every_text_with_a_letter_stays(spark):
     rows = [(k, t, None, None, 1) for k, t in enumerate(["abc", None, "", "12 34", "日本", "é"])]
     docs = frame(spark, rows)
     assert sorted(r.doc_id for r in language.keep_identified(docs, language.fit(docs)).collect()) == [0, 4, 5]
+
+
+def test_the_sample_is_bounded_however_rows_repeat(spark):
+    """Null ids are told apart by their texts; rows that repeat both are one."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(300_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, "ka tu").otherwise(F.concat(F.lit("mi ro "), F.col("id"))).alias("text"), F.lit("xx").alias("lang"))
+    chosen, share = language.sampled(many, "doc_id", "text", "lang", 1200)
+    rows = chosen.collect()
+    assert len(rows) == 1200 and share == {"xx": 1200 / 300_000}
+    assert len({r.text for r in rows}) == 1200 and sum(r.copies for r in rows) in (1200, 101_199)
+
+
+def test_a_language_of_one_in_many_thousands_is_learned(spark):
+    from pyspark.sql import functions as F
+
+    common = spark.range(100_000).select("id", F.concat(F.lit("ka tu mi "), F.col("id")).alias("text"), F.lit("xx").alias("lang"))
+    rare = frame(spark, [(-1 - k, "sch ei ung der", "yy", "s", 1) for k in range(5)]).select(F.col("doc_id").alias("id"), "text", "lang")
+    assert language.fit(common.union(rare), "id").languages == ["xx", "yy"]
+
+
+def test_no_share_is_too_small():
+    from formicary.llm.shared import draw_bound
+
+    assert draw_bound(1.25 * 3000 / 5e10) > 10**11 and draw_bound(1.5) == (1 << 63) - 1

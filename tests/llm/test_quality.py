@@ -3,13 +3,16 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from formicary.llm import quality
 from tests.llm.helpers import SCHEMA, frame, odd_documents, prose, rows_of
 
+SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -46,12 +49,38 @@ def test_counts_and_minimum_are_those_of_brute_force(spark):
     assert all(not r.kept for r in out.collect() if r.base_failed)
 
 
-def test_the_list_separates_and_keeps_clean_texts(spark):
-    rows, labels = labelled()
-    known = [x for x in labels if x[0] % 2]
-    out = {r.doc_id: r.kept for r in quality.judge(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
-    right = sum(out[d] == bool(q) for d, q, _ in labels)
-    assert right >= 0.97 * len(labels) and all(out[d] for d, q, _ in labels if q) and known
+def test_held_out_labels(spark):
+    """Learns from half of the labels and is scored on the other half, which it has not seen."""
+    rows, labels = labelled(800)
+    known = [x for x in labels if x[0] // 4 % 2]
+    out = {r.doc_id: r.kept for r in quality.judge(frame(spark, rows), spark.createDataFrame(known, "doc_id long, quality int, toxic int")).collect()}
+    unseen = [x for x in labels if not x[0] // 4 % 2]
+    right = sum(out[d] == bool(q) for d, q, _ in unseen)
+    assert right >= 0.97 * len(unseen) and all(out[d] for d, q, _ in unseen if q)
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
+def test_held_out_labels_of_the_tables(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    out = quality.judge(spark.read.parquet(f"{SF}/documents.parquet"), labels.filter("doc_id % 2 = 0"))
+    seen = out.join(labels.filter("doc_id % 2 = 1 and quality is not null"), "doc_id").select("quality", "kept").collect()
+    bad, good = [r.kept for r in seen if r.quality == 0], [r.kept for r in seen if r.quality == 1]
+    assert len(bad) > 20 and len(good) > 100
+    assert bad.count(False) >= 0.9 * len(bad) and good.count(True) >= 0.95 * len(good)
+
+
+def test_the_label_sample_is_bounded_and_never_empty(spark, monkeypatch):
+    many = spark.range(200_000).selectExpr("if(id % 2 = 0, null, id % 50000) as doc_id", "cast(id % 3 as int) as quality")
+    chosen = quality.sampled_labels(many, sample_rows=1000)
+    assert chosen.count() == 1000 and chosen.filter("_label_id is null or _label is null").isEmpty()
+    rows, labels = labelled(40)
+    again = [(r[0], r[1] + f" {k}", *r[2:]) for r in rows for k in range(5)]  # ids that repeat with other texts
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda x, bad, **how: seen.append(len(bad)) or [])
+    known = quality.sampled_labels(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    quality.fit(quality.with_counts(frame(spark, [*again, *again]), keep=["doc_id"]), known, sample_rows=30)
+    quality.fit(quality.with_counts(frame(spark, [*rows, *rows]), keep=["doc_id"]), known)
+    assert seen == [30, 40]
 
 
 def test_noise_teaches_nothing():
