@@ -18,7 +18,12 @@ from formicary.shipping import ship
 BATCH_ROWS = 1000
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+#: Keys that `join_spread` broadcasts the rows of, at most, and rows that it looks for them in.
+HOT_KEYS = 1000
+HOT_SAMPLE = 200_000
+
 _local_fallback: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +55,12 @@ def delete_on_exit(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path and what is under it, now."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again.
 
@@ -59,7 +70,58 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     delete_on_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def written() -> int:
+    """How many tables `materialize` has written so far; what `settle` takes."""
+    return len(_written)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for df in frames:
+        delete(df.sparkSession, df._written_at)
+        _written[_written.index(df._written_at)] = ""
+
+
+def settle(df: DataFrame, tag: str, since: int) -> DataFrame:
+    """Materialize df, then delete all other tables written since `written()` was `since`: only df read them."""
+    out = materialize(df, tag)
+    for k in range(since, len(_written) - 1):
+        if _written[k]:
+            delete(df.sparkSession, _written[k])
+            _written[k] = ""
+    return out
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, values: list[str], hot: list | None = None) -> DataFrame:
+    """left with the `values` of right's row of the same key, null where there is none; right has one row a key.
+
+    Keys that hold a thousandth of left's rows or more are joined by broadcast, HOT_KEYS rows of right at most, and
+    their rows and those without a key are dealt at random, so no key fills a task. hot: these keys if the caller
+    knows them; otherwise a sample of HOT_SAMPLE rows tells them.
+    """
+    if hot is None:
+        n = left.count()
+        seen = left.select(key).filter(F.col(key).isNotNull())
+        seen = seen.sample(HOT_SAMPLE / n, seed=1) if n > HOT_SAMPLE else seen
+        hot = [r[0] for r in seen.groupBy(key).count().filter(F.col("count") >= max(50, min(n, HOT_SAMPLE) // HOT_KEYS)).orderBy(F.desc("count")).limit(HOT_KEYS).collect()]
+    named = right.select(F.col(key).alias("_key"), *(F.col(v).alias(f"_r_{v}") for v in values))
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    out = left.withColumn("_rest", F.when(~is_hot, F.col(key)))
+    out = out.withColumn("_deal", F.xxhash64(F.when(F.col("_rest").isNull(), F.monotonically_increasing_id()), "_rest"))
+    named = named.withColumn("_to", F.xxhash64(F.lit(None).cast("long"), "_key"))  # the same for the rows that can meet
+    out = out.join(named, (F.col("_deal") == F.col("_to")) & (F.col("_rest") == F.col("_key")), "left").drop("_key", "_to", "_rest", "_deal")
+    found = {v: F.col(f"_r_{v}") for v in values}
+    if hot:
+        few = right.filter(F.col(key).isin(hot)).select(F.col(key).alias("_key"), *(F.col(v).alias(f"_h_{v}") for v in values))
+        out = out.join(F.broadcast(few), F.col(key) == F.col("_key"), "left").drop("_key")
+        found = {v: F.coalesce(F.col(f"_h_{v}"), F.col(f"_r_{v}")) for v in values}
+    return out.select(*left.columns, *(c.alias(v) for v, c in found.items()))
 
 
 def draw(h: Column) -> Column:

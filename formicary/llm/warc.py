@@ -3,7 +3,8 @@
 Each executor task writes one bundle or more: records are grouped into independent Zstandard frames of
 about FRAME_BYTES, and a skippable frame at the end holds the seek table (the published seekable format:
 compressed and uncompressed size of each frame). The index maps a record id to bundle, frame, offset in
-the frame and length, so one record is read with two range reads.
+the frame and length, so one record is read with two range reads: the seek table and its frame. Archives are
+read through the index, too: its rows are dealt by groups of frames to as many tasks as their size asks for.
 
 Bundles are written under the shared folder through pyarrow.fs, to a name of their own for each task
 attempt; only the index of a task that ended well names its bundle.
@@ -25,10 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formicary.llm.shared import arrow_map, byte_rows, delete_on_exit, materialize, new_path
+from formicary.llm.shared import HOT_KEYS, arrow_map, byte_rows, delete_on_exit, discard, join_spread, materialize, new_path
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 256 << 20
+#: Frames that are read by one task, one after the other, and plain bytes of all that one task reads.
+FRAMES_TOGETHER = 4
+TASK_BYTES = 256 << 20
 MIN_REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -203,7 +207,8 @@ def _write_bundles(root: str, bundle_bytes: int) -> Callable:
 def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write a record per row of pages under root; the index (record_id, bundle, frame, offset, length).
 
-    The payload is the html in UTF-8, empty if it is null. Of equal payloads of at least
+    Which payloads repeat is found on their digests; a digest of many rows doesn't bring these together. The payload
+    is the html in UTF-8, empty if it is null. Of equal payloads of at least
     MIN_REVISIT_BYTES, the rows with the largest id are responses and the others revisit it; without
     any id in the group all are responses. Repeated rows give repeated records. Nothing is written
     for an empty table.
@@ -211,36 +216,73 @@ def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col:
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
     large = rows.filter(F.col("bytes") >= MIN_REVISIT_BYTES)
-    keepers = large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("_n")).filter("_n > 1").select("digest", "keeper")
-    joined = rows.join(keepers, "digest", "left")
+    keepers = materialize(large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("_n")).filter("_n > 1").withColumnRenamed("digest", "_large"), "warc-keepers")
+    repeated = keepers.agg(F.sum("_n")).first()[0] or 0
+    hot = [r[0] for r in keepers.filter(F.col("_n") >= max(50, -(-repeated // HOT_KEYS))).select("_large").collect()]  # HOT_KEYS at most
+    joined = join_spread(rows.withColumn("_large", F.when(F.col("bytes") >= MIN_REVISIT_BYTES, F.col("digest"))), keepers, "_large", ["keeper"], hot)
     revisit = F.col("keeper").isNotNull() & (F.coalesce(F.col("page_id") < F.col("keeper"), F.lit(True)))
     decided = joined.withColumn("refers_to", F.when(revisit, F.col("keeper"))).select("page_id", "url", "html", "digest", "bytes", "refers_to")
-    return materialize(arrow_map(decided, _write_bundles(root, bundle_bytes), INDEX), "warc-index")
+    index = materialize(arrow_map(decided, _write_bundles(root, bundle_bytes), INDEX), "warc-index")
+    discard(keepers)
+    return index
 
 
-def _read_bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_places(with_payload: bool) -> Callable:
+    """Records by their places; the places come sorted by bundle and frame, so that each frame is read once."""
     names = [x.split()[0] for x in RECORDS.split(", ")]
     types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64())
-    for batch in batches:
-        for path in batch.column(0).to_pylist():
-            reader = BundleReader(path)
-            for number in range(len(reader.sizes)):
-                rows = []
-                for r in parse_records(reader.frame(number)):
-                    digest = base64.b32decode(r.headers["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    kind, size = r.headers["warc-type"], int(r.http["content-length"])
-                    if kind == "response" and (len(r.payload) != size or hashlib.sha1(r.payload).hexdigest() != digest):
-                        raise ValueError(f"{path}, frame {number}, offset {r.offset}: the payload isn't what its headers say")
-                    refers = page_of(r.headers["warc-refers-to"]) if kind == "revisit" else None
-                    rows.append((page_of(r.headers["warc-record-id"]), r.headers.get("warc-target-uri"), size, digest, kind, refers, path, number, r.offset, r.length))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, path, at, data = None, None, -1, b""
+        for batch in batches:
+            rows = []
+            for identifier, bundle, frame, offset, length in zip(*(batch.column(c).to_pylist() for c in ("record_id", "bundle", "frame", "offset", "length")), strict=True):
+                if bundle != path:
+                    if reader:
+                        reader.close()
+                    reader, path, at = BundleReader(bundle), bundle, -1
+                if frame != at:
+                    data, at = reader.frame(frame), frame
+                r = next(parse_records(data[offset : offset + length]))
+                digest = base64.b32decode(r.headers["warc-payload-digest"].removeprefix("sha1:")).hex()
+                kind, size = r.headers["warc-type"], int(r.http["content-length"])
+                if r.headers["warc-record-id"] != identifier or r.length != length:
+                    raise ValueError(f"{path}, frame {frame}, offset {offset}: not the record {identifier}")
+                if kind == "response" and (len(r.payload) != size or hashlib.sha1(r.payload).hexdigest() != digest):
+                    raise ValueError(f"{path}, frame {frame}, offset {offset}: the payload isn't what its headers say")
+                refers = page_of(r.headers["warc-refers-to"]) if kind == "revisit" else None
+                rows.append((page_of(identifier), r.headers.get("warc-target-uri"), size, digest, kind, refers, path, frame, offset, length, r.payload))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 11
+            arrays = [pa.array(x, t) for x, t in zip(columns, (*types, pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays if with_payload else arrays[:-1], [*names, "payload"] if with_payload else names)
+        if reader:
             reader.close()
 
+    return run
+
+
+def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
+    """The record of every row of the index (or some rows of it), read at its place and verified.
+
+    Neither bundles nor their seek tables are searched. As many tasks as partitions are set, at least, and as many
+    as TASK_BYTES asks for; FRAMES_TOGETHER neighbouring frames go to one task.
+    """
+    size = index.agg(F.sum("length")).first()[0] or 0
+    frames = -(-size // FRAME_BYTES)
+    tasks = max(1, min(frames, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-size // TASK_BYTES))
+    task = F.pmod(F.xxhash64("bundle", F.floor(F.col("frame") / FRAMES_TOGETHER)), F.lit(tasks)).cast("int")
+    dealt = index.select("record_id", "bundle", "frame", "offset", "length").repartitionById(tasks, task).sortWithinPartitions("bundle", "frame", "offset")
+    return arrow_map(dealt, _read_places(with_payload), RECORDS + (", payload binary" if with_payload else ""))
+
+
+def fetch(index: DataFrame, record_ids: DataFrame, with_payload: bool = True) -> DataFrame:
+    """The records whose record_id is among those of record_ids; only their frames are read."""
+    return read_records(index.join(record_ids.select("record_id").distinct(), "record_id", "left_semi"), with_payload)
+
 
 def read_archive(index: DataFrame) -> DataFrame:
-    """Every record of the bundles that the index names, parsed and verified against its headers."""
-    bundles = index.select("bundle").distinct()
-    return arrow_map(bundles.repartition("bundle"), _read_bundles, RECORDS)
+    """Every record that the index names."""
+    return read_records(index)
 
 
 def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
