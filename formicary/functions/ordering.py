@@ -1,6 +1,6 @@
 """Order-dependent work (ranks, neighbours) without a global sort in one task.
 
-Rows are dealt into ranges of the order by quantiles of a long column; each range is sorted on its own,
+Rows are dealt into ranges of the order by sampled quantiles of a long column; each range is sorted on its own,
 and only one row per range (counts, first and last values) is brought together to line the ranges up.
 """
 
@@ -10,24 +10,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_RANGE = 500_000
+#: Ranges at most (beyond, they hold more rows and their sorts spill), and sampled values for each of them.
+MAX_RANGES = 20_000
+SAMPLED = 32
+_MARK = "\x1f"
+
+
+def number_array(numbers: list[int], kind: str = "bigint") -> Column:
+    """Numbers as one array literal: the optimizer folds it from one string, so a plan may hold many."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast(f"array<{kind}>") if numbers else F.array().cast(f"array<{kind}>")
+
+
+def string_array(strings: list[str]) -> Column:
+    """The same of strings; those with the character U+001F are left out."""
+    strings = [x for x in strings if _MARK not in x]
+    return F.split(F.lit(_MARK.join(strings)), _MARK) if strings else F.array().cast("array<string>")
+
+
+def range_count(df: DataFrame, n: int, rows: int = ROWS_PER_RANGE) -> int:
+    """Into how many ranges to deal n rows: a partition each at least, about `rows` in each, MAX_RANGES at most."""
+    return max(1, min(n, MAX_RANGES, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // rows))))
+
+
+def sampled_quantiles(values: DataFrame, n: int, ranges: int) -> list:
+    """Values that cut the n rows of a one-column frame into ranges of about equal size; those of a hot value repeat.
+
+    From SAMPLED values for each range, whatever n is. They say where rows go, so nothing depends on which they are.
+    """
+    want = ranges * SAMPLED
+    if ranges < 2 or n == 0:
+        return []
+    some = values.sample(want / n, seed=1) if want < n else values
+    found = sorted(r[0] for r in some.limit(4 * want).collect() if r[0] is not None)
+    return [found[len(found) * k // ranges] for k in range(1, ranges)] if found else []
 
 
 def quantile_bounds(df: DataFrame, order: Column, ranges: int | None = None) -> list[int]:
     """Sorted distinct bounds that cut df's values of `order` into ranges of about equal size."""
     n = df.count()
-    ranges = ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_PER_RANGE))
-    if n == 0 or ranges < 2:
-        return []
-    shares = [k / ranges for k in range(1, ranges)]
-    return sorted(set(df.agg(F.percentile_approx(order, shares, 20 * ranges)).first()[0] or []))
+    return sorted(set(sampled_quantiles(df.select(order), n, ranges or range_count(df, n))))
 
 
 def range_number(order: Column, bounds: list, or_equal: bool = False) -> Column:
     """How many of the sorted bounds are < the value (or <= it): a binary search in one expression. 0 for a null."""
     if not bounds:
         return F.lit(0)
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
-    array = F.array(*map(F.lit, bounds))
+    steps = number_array([1 << k for k in reversed(range(len(bounds).bit_length()))], "int")
+    array = string_array(bounds) if isinstance(bounds[0], str) else number_array(bounds)
 
     def step(at: Column, by: Column) -> Column:
         there = F.get(array, at + by - 1)
