@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from formicary.functions.ordering import range_number
+from formicary.functions.ordering import range_count, range_number, sampled_quantiles
 from formicary.llm.shared import arrow_map
 
-#: Sampled keys for each range; the driver holds ranges * KEYS_PER_RANGE short strings.
-KEYS_PER_RANGE = 32
+#: Characters of a bound: the beginning of a long key is a bound, too.
+BOUND_CHARS = 500
 ROWS_PER_RANGE = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,14 +38,6 @@ def reversed_host(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def range_bounds(keys: DataFrame, ranges: int) -> list[str]:
-    """Quantiles of about ranges * KEYS_PER_RANGE keys, chosen by a hash over the rows."""
-    want, n = ranges * KEYS_PER_RANGE, keys.count()
-    share = min(1.0, want / max(1, n))
-    sample = sorted(r[0].encode() for r in keys.select("_key", F.xxhash64(*keys.columns).alias("_h")).filter(F.pmod("_h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(4 * want).select("_key").collect())
-    return [sample[len(sample) * k // ranges].decode() for k in range(1, ranges)] if sample else []
-
-
 class ActiveRules:
     """The rules that enclose the sweep's present key, innermost host on top."""
 
@@ -108,13 +100,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, keep: list[str], url_col: str
     only a rule with both empty would fit. Without a rule: null and the default verdict. Columns named host, path,
     rule or verdict aren't kept. Repeated rows are judged each; an empty table gives none.
     """
-    spark = pages.sparkSession
     kept = [c for c in keep if c not in ("host", "path", "rule", "verdict")]
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(*kept, host.alias("host"), path.alias("path")).withColumn("_key", F.concat(reversed_host(F.col("host")), F.col("path")))
-    count = urls.count()
-    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // ROWS_PER_RANGE))
-    bounds = range_bounds(urls, ranges)
+    n = pages.count()
+    ranges = ranges or range_count(pages, n, ROWS_PER_RANGE)
+    bounds = [x for x in sampled_quantiles(urls.select(F.left("_key", F.lit(BOUND_CHARS))), n, ranges) if "\x1f" not in x]
     first, last = range_number(F.col("_key"), bounds), range_number(F.col("_key"), bounds, True)
     dealt = urls.withColumn("_first", first).withColumn("_last", last).withColumn("_range", F.col("_first") + F.pmod(F.xxhash64(*kept, "path"), F.col("_last") - F.col("_first") + 1).cast("int"))
     dealt = dealt.select(*kept, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), "_key", F.lit(1).alias("_kind"), "_range")
@@ -123,6 +114,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, keep: list[str], url_col: str
     spread = given.withColumn("_range", F.explode(F.sequence(range_number(F.col("_key"), bounds), range_number(end, bounds))))
     types = {f.name: f.dataType for f in pages.schema.fields}
     spread = spread.select(*(F.lit(None).cast(types[c]).alias(c) for c in kept), "host", "path", F.concat("host", "path").alias("rule"), F.col("action").alias("verdict"), "_key", F.lit(0).alias("_kind"), "_range")
-    sorted_ = dealt.unionByName(spread).repartitionById(ranges, F.col("_range")).sortWithinPartitions("_key", "_kind")
+    sorted_ = dealt.unionByName(spread).repartitionById(len(bounds) + 1, F.col("_range")).sortWithinPartitions("_key", "_kind")
     schema = StructType([*(StructField(c, types[c]) for c in kept), *(StructField(c, StringType()) for c in ("host", "path", "rule", "verdict"))])
     return arrow_map(sorted_, _sweep(kept, default), schema)

@@ -38,6 +38,14 @@ def test_verdicts_are_those_of_brute_force(spark, ranges):
     assert sorted((tuple(r) for r in got), key=repr) == sorted(((k, *brute_force(u, RULES)) for k, u in rows), key=repr)
 
 
+def test_long_urls_and_odd_characters(spark):
+    long = "http://a.example.com/x/" + "y" * 100_000
+    rows = [(k, u) for k, u in enumerate([long, long + "z", "http://" + "a." * 20_000 + "net/", "http://x\x1fy.net/", "http://é\u2028.org/fr/\x1f", *[long] * 40])]
+    rules = spark.createDataFrame(RULES, "action string, host string, path string")
+    got = judge_urls(frame(spark, rows, "page_id long, url string"), rules, ["page_id"], ranges=6).collect()
+    assert sorted(tuple(r) for r in got) == sorted((k, *brute_force(u, RULES)) for k, u in rows)
+
+
 def test_many_rules_meet_many_ranges(spark):
     draw = random.Random(2)
     rules = [(draw.choice(["block", "allow"]), ".".join(draw.choice("abc") for _ in range(draw.randint(1, 4))), draw.choice(["/", "/p/", "/p/q", ""])) for _ in range(80)]
