@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from formicary.functions.ordering import number_array
 from formicary.llm.shared import arrow_map, byte_rows, materialize
 
-#: Pieces of one length that one task ranks; hot lengths are split into parts of about this size.
-ROWS_PER_PART = 20_000
+#: Parts that all pieces are ranked in, for each partition that is set; a length of many pieces has many of them.
+PARTS_A_PARTITION = 4
 #: Words and lower-cased words that a worker remembers the ids of.
 KNOWN_WORDS, KNOWN_CORES = 250_000, 400_000
 #: Closing marks that are tokens of their own after a letter.
@@ -338,43 +339,54 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str =
     return arrow_map(narrow, _piece_batches(tokenizer, capacity, with_ids), PIECES + (", ids array<long>" if with_ids else ""))
 
 
-def _seated(table: dict[str, np.ndarray], names: list[str]) -> Callable:
+def _seated(table: dict[str, np.ndarray], bases: dict[int, np.ndarray], names: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = int(table["rank"].max()) + 1 if len(table["rank"]) else 1
         first = np.searchsorted(table["length"], np.arange(int(table["length"].max()) + 2 if len(table["length"]) else 1))
         for batch in batches:
             if not batch.num_rows:
                 continue
             length = batch.column("length").to_numpy()
-            rank = batch.column("_rank").to_numpy()
-            at = np.empty(len(length), np.int64)
+            part, place = batch.column("_part").to_numpy(), batch.column("_place").to_numpy()
+            rank, at = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             for value in np.unique(length):
                 rows = length == value
+                rank[rows] = bases[int(value)][part[rows]] + place[rows] - 1
                 lo, hi = first[value], first[value + 1]
-                at[rows] = lo + np.searchsorted(table["rank"][lo:hi], np.minimum(rank[rows], wide), side="right") - 1
+                at[rows] = lo + np.searchsorted(table["rank"][lo:hi], rank[rows], side="right") - 1
             kept = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(table["base"][at] + rank - table["rank"][at]), pa.array(table["offset"][at])], [*names, "sequence_id", "offset"])
 
     return run
 
 
+def part_counts(histogram: dict[int, int], parts: int) -> dict[int, int]:
+    """In how many parts the pieces of each length are ranked: `parts` for all, in proportion, one at least."""
+    total = sum(histogram.values())
+    return {length: max(1, -(-n * parts // total)) for length, n in histogram.items()}
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, groups: int = 24, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pack documents into sequences of at most `capacity` tokens; one row per piece.
 
     doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset. Null texts are empty
     documents; a null id stays null; repeated rows are packed each for itself (their places are
     exchangeable); an empty table gives no rows. Nothing is dropped or shortened.
+
+    A piece's rank among those of its length is its place in its part and the size of the parts before. The driver
+    holds the size of each part: `capacity` numbers and PARTS_A_PARTITION for each partition, whatever the corpus.
     """
     cut_up = materialize(pieces(docs, tokenizer, capacity, id_col, text_col, with_ids), "pieces")
     histogram = {int(r["length"]): int(r["count"]) for r in cut_up.groupBy("length").count().collect()}  # at most `capacity` rows
     table = seats(plan(histogram, capacity, groups))
-    parts = F.create_map(*[F.lit(x) for length, n in sorted(histogram.items()) if n > ROWS_PER_PART for x in (length, -(-n // ROWS_PER_PART))]) if any(n > ROWS_PER_PART for n in histogram.values()) else None
-    names = [f for f in cut_up.columns if f != "_part"]
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.coalesce(parts[F.col("length")], F.lit(1))) if parts is not None else F.lit(0).cast("long")
-    dealt = cut_up.withColumn("_part", part.cast("long"))
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = dealt.groupBy("length", "_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("length", "_part", "_base")
+    parts = part_counts(histogram, PARTS_A_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by_length = number_array([parts.get(k, 1) for k in range(capacity + 1)], "int")
+    dealt = cut_up.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(by_length, F.col("length").cast("int"))).cast("int"))
+    bases = {length: np.zeros(n, np.int64) for length, n in parts.items()}
+    for r in dealt.groupBy("length", "_part").count().collect():  # at most the sum of `parts`
+        bases[r["length"]][r["_part"]] = r["count"]
+    bases = {length: np.cumsum(n) - n for length, n in bases.items()}
     within = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1).join(bases, ["length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
+    ranked = dealt.withColumn("_place", F.row_number().over(within))
+    names = cut_up.columns
     schema = PIECES + (", ids array<long>" if with_ids else "") + ", sequence_id long, offset long"
-    return arrow_map(ranked.select(*names, "_rank"), _seated(table, names), schema)
+    return arrow_map(ranked.select(*names, "_part", "_place"), _seated(table, bases, names), schema)

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from formicary.llm.packing import pack, plan, seats, word_ids
+from formicary.llm.packing import pack, part_counts, plan, seats, word_ids
 from tests.llm.helpers import frame, odd_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -83,14 +83,17 @@ def test_pack_is_whole_gapless_and_right(spark):
     assert len(spans) == best_fit_decreasing([r.length for r in got], 2048)
 
 
-def test_hot_lengths_are_ranked_in_parts(spark, monkeypatch):
-    import formicary.llm.packing as packing
-
-    monkeypatch.setattr(packing, "ROWS_PER_PART", 10)
-    rows = [(k % 90, "one two three", "en", "s", 1) for k in range(300)]
-    got = packing.pack(frame(spark, rows), PATH, capacity=16).collect()
+def test_hot_lengths_are_ranked_in_parts(spark):
+    rows = [(k % 90, "one two three" if k % 3 else "one", "en", "s", 1) for k in range(300)]
+    got = pack(frame(spark, rows), PATH, capacity=16).collect()
     assert len({(r.sequence_id, r.offset) for r in got}) == 300
-    assert len({r.sequence_id for r in got}) == 75
+    assert len({r.sequence_id for r in got}) == (200 * 4 + 100 * 2) // 16 + 1
+
+
+def test_parts_follow_the_share_of_a_length():
+    assert part_counts({3: 10, 5: 990}, 100) == {3: 1, 5: 99}
+    assert sum(part_counts({k: k for k in range(1, 2049)}, 64).values()) <= 2048 + 64
+    assert part_counts({}, 100) == {}
 
 
 def test_empty_table(spark):
