@@ -1,9 +1,10 @@
 """License scans by canonical digest.
 
-A text is brought to a canonical form (letters folded, punctuation and white space as single spaces,
-copyright lines left out, spelling variants made equal) and its digest is looked up among those of known
-licences by a hash join; each line is looked up among the known one-line notices. All of it is
-DataFrame expressions: one pass over the texts, no shuffle of them, and a lookup table of fixed size.
+A text is brought to a canonical form (letters folded, punctuation and white space as single spaces, title
+and copyright lines left out, spelling variants made equal) that doesn't depend on where lines were
+wrapped. Its digest is looked up among those of known licences by a hash join; each line is looked up among the
+known one-line notices. All of it is DataFrame expressions: one pass over the texts, no shuffle of them, and a
+lookup table of fixed size.
 """
 
 from __future__ import annotations
@@ -15,33 +16,41 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# fixed values: spellings that licence matching treats as equal
+# fixed values: words that licence matching treats as equal
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"),
+    ("acknowledgements", "acknowledgments"),
     ("authorisation", "authorization"),
+    ("authorised", "authorized"),
+    ("copyright holder", "copyright owner"),
+    ("copyright holders", "copyright owners"),
     ("favour", "favor"),
-    ("fulfil ", "fulfill "),
+    ("fulfil", "fulfill"),
     ("https", "http"),
     ("licence", "license"),
+    ("licences", "licenses"),
     ("merchantibility", "merchantability"),
     ("non commercial", "noncommercial"),
+    ("non infringement", "noninfringement"),
     ("organisation", "organization"),
+    ("organisations", "organizations"),
     ("per cent", "percent"),
     ("sub license", "sublicense"),
-    ("copyright holder", "copyright owner"),
+    ("sub licence", "sublicense"),
 ]
 
-# fixed values: spellings of several words, which the end of a line can part
-PARTED = [(a, b) for a, b in SPELLINGS if " " in a]
-
-# fixed values: lines of this form name the holder and not the licence
-HOLDER_LINE = "^((portions )?copyright (c|year|yyyy|[0-9]{4})|all rights reserved|c [0-9]{4})( |$)"
-# and these do where a paragraph begins, or below a title or another such line
-HOLDER_NAME = "^(portions )?copyright (?!(notice|holder|owner|law|license|statement|interest|permission|disclaimer)s?( |$)|(and|or|in|on|is|of|to|for)( |$))."
-ABOVE_HOLDER = f"^$|{HOLDER_NAME}|^all rights reserved( |$)|^([^ ]+ ){{0,5}}license( [^ ]+)?$"
-# fixed values: the SQL twin's wider rule; the same where every line that begins with `copyright` names a holder
-COPYRIGHT_LINE = "^(copyright|portions copyright|all rights reserved|c [0-9]{4})( |$)"
 NOT_A_WORD = "[^\\p{L}\\p{N}\\n]+"
+# fixed values: lines of this form, in canonical words, name the holder and not the licence
+HOLDER_LINE = "^((c )?(portions )?copyright (c|year|yyyy|[0-9]{4})|all rights reserved|c [0-9]{4})( |$)"
+# and these do where a paragraph begins, or below a title or another such line, unless they go on as a body does
+HOLDER_NAME = "^(c )?(portions )?copyright ."
+NO_NAME = "^(c )?(portions )?copyright ((notice|holder|owner|law|licen[cs]e|statement|interest|permission|disclaimer)s?( |$)|(and|or|in|on|is|of|to|for)( |$))"
+ABOVE_HOLDER = "^$|^all rights reserved( |$)|^([^ ]+ ){0,5}licen[cs]e( [^ ]+)?$"
+# fixed values: first lines that are a licence's title
+TITLE = (
+    "^(the )?((new|modified|revised|simplified|free) )?(mit|expat|x11|isc|bsd|freebsd|zlib|libpng|zlib libpng|apache|boost software|0bsd)"
+    "( ([0-4]|zero|two|three)( clause)?)?( software)? licen[cs]e( (mit|expat|isc|bsd|0bsd|zlib|bsd [0-4] clause))?$|^(the )?([0-4]|two|three) clause bsd licen[cs]e$"
+)
 
 # fixed values: known licence texts
 _WARRANTY_MIT = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -76,7 +85,6 @@ Unless required by applicable law or agreed to in writing, software distributed
 
 TEXTS = [
     ("MIT", _PERMISSION_MIT + _WARRANTY_MIT),
-    ("MIT", "MIT License\n\n" + _PERMISSION_MIT + _WARRANTY_MIT),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _WARRANTY_ISC),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _WARRANTY_ISC),
     ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
@@ -84,6 +92,8 @@ TEXTS = [
     ("Zlib", _ZLIB),
     ("Apache-2.0", _APACHE_NOTICE),
 ]
+# the same with bullets instead of numbers
+TEXTS += [(name, "\n".join(line[3:] if line[1:3] == ". " else line for line in text.split("\n"))) for name, text in TEXTS if "\n1. " in text]
 
 # fixed values: one-line notices
 NOTICES = [
@@ -98,15 +108,47 @@ NOTICES = [
     ("MIT", "Licensed under the MIT License."),
 ]
 
+#: What the canonical form of every one-line notice contains, whatever its spelling.
+IN_NOTICES = "licen"
+
+# fixed values: digests of the canonical forms of longer licences, as they are commonly distributed; of those that end
+# with advice on how to apply them, also without it
+DIGESTS = [
+    ("Apache-2.0", "d711f2e1f1a0c8a5ca17e04167d59ac7b855cdd2bb99a9c7b6a8179bedd754c9"),
+    ("Apache-2.0", "5792cda8f223cf3e87d9017905b9c47d0ee85ae03e873648472da2425f818c33"),
+    ("Artistic-1.0-Perl", "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2-only", "66919c3537107c2c9f5219f6ba4c41fe9c0d7c14d885087e3db69494463a778e"),
+    ("GFDL-1.2-only", "34738b9a072492708a34dddfc9f2baa861ec80e1ff253c2560619abc4cea967b"),
+    ("GFDL-1.3-only", "525fd4384869c81c4cbd264822942ae15202284aed28fb120ba01fc119dda9ff"),
+    ("GFDL-1.3-only", "045715bb0fee0c933adcaaa9eba95b71a133fefd13049e27bf6ff019ba15dc72"),
+    ("GPL-1.0-only", "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f"),
+    ("GPL-1.0-only", "3b5b36de4a3801680b9eb44e80739b3aeb71c4bf6ca623ee5f87b2e2b03d3ed9"),
+    ("GPL-2.0-only", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
+    ("GPL-2.0-only", "a76cc6ce70778ba70e43b9b1838f9e3f88b3fc7c5acbb3b8a9847918003b63e0"),
+    ("GPL-3.0-only", "f261b435eb8567cdf85af2d75ff64fc410ffd6736a25e4e3decf53444c84954b"),
+    ("GPL-3.0-only", "37c56603f4e31b2543cd5b0af6f397ee80a8395704359e942e53728d5c3a84ff"),
+    ("LGPL-2.0-only", "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e"),
+    ("LGPL-2.0-only", "7d5246cc24a9d78fffd01a07fbc2e71edd1e94ad8d403f3180a4cf5fef43d389"),
+    ("LGPL-2.1-only", "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692"),
+    ("LGPL-2.1-only", "65484d3c9f900f96945bd4e6c5397aaa24f93bdc8f720eae06fbd377c62cfe97"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-1.1", "80cd52a1836f5ea3706bd2afa402fc448999d4a22581ee62d4041bd8a08efd87"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+    ("MPL-2.0", "075fcdf87448c49dbad8c5f7963f0eb6907a3d8eae1b431ba2988508499ec0de"),
+]
+
 
 def canonical_lines(text: Column) -> Column:
-    """The lines of the canonical form, without empty lines and those that name the holder; none of a null."""
-    out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NOT_A_WORD, " ")
-    for variant, chosen in SPELLINGS:
-        out = F.replace(out, F.lit(variant), F.lit(chosen))
-    lines = F.transform(F.split(out, "\n", -1), lambda x: F.trim(x))
+    """The words of each line, without empty lines, those that name the holder and a title; none of a null."""
+    text = F.coalesce(text, F.lit(""))
+    text = F.when(F.contains(text, F.lit("\u00a9")), F.replace(text, F.lit("\u00a9"), F.lit("(c)"))).otherwise(text)
+    plain = F.regexp_replace(F.translate(text, UPPER, LOWER), NOT_A_WORD, " ")
+    lines = F.transform(F.split(plain, "\n", -1), lambda x: F.trim(x))
     lines = _once(lines, lambda xs: F.when(F.exists(xs, lambda x: x.rlike(HOLDER_NAME)), _unnamed(xs)).otherwise(xs))
-    return F.filter(lines, lambda x: (x != "") & ~x.rlike(HOLDER_LINE))
+    lines = F.filter(lines, lambda x: (x != "") & ~x.rlike(HOLDER_LINE))
+    return _once(lines, lambda xs: F.when(F.get(xs, F.lit(0)).rlike(TITLE), F.slice(xs, F.lit(2), F.size(xs))).otherwise(xs))
 
 
 def _once(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -117,19 +159,36 @@ def _once(value: Column, f: Callable[[Column], Column]) -> Column:
 def _unnamed(lines: Column) -> Column:
     """The lines with '' for those that name a holder without a year."""
 
+    def names(x: Column) -> Column:
+        return x.rlike(HOLDER_NAME) & ~x.rlike(NO_NAME)
+
     def kept(x: Column, k: Column) -> Column:
         above = F.coalesce(F.get(lines, k - 1), F.lit(""))
-        return F.when(x.rlike(HOLDER_NAME) & above.rlike(ABOVE_HOLDER), "").otherwise(x)
+        return F.when(names(x) & (above.rlike(ABOVE_HOLDER) | names(above)), "").otherwise(x)
 
     return F.transform(lines, kept)
 
 
+def _apart(words: str) -> str:
+    """Words with two spaces between and one around them, as `spelled` finds them."""
+    return f" {words.replace(' ', '  ')} "
+
+
+def spelled(words: Column) -> Column:
+    """Words with single spaces between, variants replaced by the chosen spelling where they are whole words."""
+    variants = [x for x, _ in SPELLINGS]
+    some = F.contains(words, F.lit(variants[0]))
+    for x in variants[1:]:
+        some = some | F.contains(words, F.lit(x))
+    out = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
+    for variant, chosen in SPELLINGS:
+        out = F.replace(out, F.lit(_apart(variant)), F.lit(_apart(chosen)))
+    return F.when(some, F.trim(F.replace(out, F.lit("  "), F.lit(" ")))).otherwise(words)
+
+
 def canonical(lines: Column) -> Column:
     """The canonical form of canonical lines, wherever they were wrapped."""
-    out = F.array_join(lines, " ")
-    for variant, chosen in PARTED:
-        out = F.replace(out, F.lit(variant), F.lit(chosen))
-    return out
+    return spelled(F.array_join(lines, " "))
 
 
 def _literals(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -137,9 +196,11 @@ def _literals(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(canonical_sha256, license) of known texts, the built-in ones by default."""
+    """(canonical_sha256, license) of known texts; by default the built-in ones and DIGESTS."""
     known = _literals(spark, TEXTS + NOTICES if texts is None else texts)
     digests = known.select(F.sha2(canonical(canonical_lines(F.col("text"))), 256).alias("canonical_sha256"), "license")
+    if texts is None:
+        digests = digests.union(_literals(spark, DIGESTS).select("text", "license"))
     return digests.groupBy("canonical_sha256").agg(F.min("license").alias("license"))
 
 
@@ -157,36 +218,50 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     keys = spark.range(1).select(F.array(*(canonical(canonical_lines(F.lit(b))) for b in notices))).first()[0]  # as literals: Spark would work them out again for each line
     table = F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*map(F.lit, notices.values())))
     lines = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("_lines"))
-    found = F.filter(F.transform("_lines", lambda x: F.try_element_at(table, x)), lambda x: x.isNotNull())
+    likely = F.filter("_lines", lambda x: F.contains(x, F.lit(IN_NOTICES)))
+    found = F.filter(F.transform(likely, lambda x: F.try_element_at(table, spelled(x))), lambda x: x.isNotNull())
     digests = lines.select("doc_id", canonical(F.col("_lines")).alias("_whole"), found.alias("_found"))
     digests = digests.select("doc_id", F.length("_whole").cast("long").alias("n_canonical"), F.sha2("_whole", 256).alias("canonical_sha256"), F.size("_found").cast("long").alias("n_license_lines"), F.array_join(F.array_sort(F.array_distinct("_found")), ",").alias("line_licenses"))
     return digests.join(known, "canonical_sha256", "left").select("doc_id", "n_canonical", "canonical_sha256", "license", "n_license_lines", "line_licenses")
 
 
 def oracle() -> str:
-    """DuckDB SQL for scan(documents).
-
-    It drops every line that begins with `copyright` (COPYRIGHT_LINE) and mends no spelling across lines, so it
-    says the same of texts in which neither occurs amid the licence, as in the tables at hand.
-    """
+    """DuckDB SQL for scan(documents)."""
 
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    clean = f"regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_A_WORD}', ' ', 'g')"
-    for variant, chosen in SPELLINGS:
-        clean = f"replace({clean}, '{variant}', '{chosen}')"
-    lines = f"list_filter(list_transform(string_split({clean}, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '{COPYRIGHT_LINE}'))"
+    def canon(lines: str) -> str:
+        out = f"' ' || replace(array_to_string({lines}, ' '), ' ', '  ') || ' '"
+        for variant, chosen in SPELLINGS:
+            out = f"replace({out}, '{_apart(variant)}', '{_apart(chosen)}')"
+        return f"trim(replace({out}, '  ', ' '))"
+
+    plain = f"regexp_replace(translate(replace(coalesce(text, ''), chr(169), '(c)'), '{UPPER}', '{LOWER}'), '{NOT_A_WORD}', ' ', 'g')"
+    above = "CASE WHEN i > 1 THEN ls[i - 1] ELSE '' END"
+
+    def names(x: str) -> str:
+        return f"regexp_matches({x}, '{HOLDER_NAME}') AND NOT regexp_matches({x}, '{NO_NAME}')"
+
+    unnamed = f"list_transform(ls, lambda x, i: CASE WHEN {names('x')} AND (regexp_matches({above}, '{ABOVE_HOLDER}') OR {names(above)}) THEN '' ELSE x END)"
+    body = f"list_filter({unnamed}, lambda x: x <> '' AND NOT regexp_matches(x, '{HOLDER_LINE}'))"
     values = ", ".join(f"({quoted(a)}, {quoted(b)}, {int(k >= len(TEXTS))})" for k, (a, b) in enumerate(TEXTS + NOTICES))
+    digests = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in DIGESTS)
+
+    def lines_of(source: str, columns: str) -> str:
+        split = f"SELECT {columns}, list_transform(string_split({plain}, chr(10)), lambda x: trim(x)) AS ls FROM {source}"
+        kept = f"SELECT {columns}, {body} AS b FROM ({split})"
+        return f"SELECT {columns}, CASE WHEN len(b) > 0 AND regexp_matches(b[1], '{TITLE}') THEN b[2:] ELSE b END AS lines FROM ({kept})"
+
     return f"""
 WITH given AS (SELECT * FROM (VALUES {values}) AS t(license, text, notice)),
-named AS (SELECT license, notice, array_to_string({lines}, ' ') AS canon FROM given),
-known AS (SELECT canon, min(license) AS license FROM named GROUP BY canon),
+named AS (SELECT license, notice, {canon("lines")} AS canon FROM ({lines_of("given", "license, notice")})),
+known AS (SELECT sha, min(license) AS license FROM (SELECT sha256(canon) AS sha, license FROM named UNION ALL SELECT * FROM (VALUES {digests}) AS d(license, sha)) GROUP BY sha),
 notices AS (SELECT canon, min(license) AS license FROM named WHERE notice = 1 GROUP BY canon),
-docs AS (SELECT doc_id, {lines} AS lines FROM documents),
-hits AS (SELECT d.doc_id, n.license FROM (SELECT doc_id, unnest(lines) AS line FROM docs) d JOIN notices n ON n.canon = d.line),
+docs AS (SELECT doc_id, lines, {canon("lines")} AS canon FROM ({lines_of("documents", "doc_id")})),
+hits AS (SELECT d.doc_id, n.license FROM (SELECT doc_id, {canon("[line]")} AS line FROM (SELECT doc_id, unnest(lines) AS line FROM docs)) d JOIN notices n ON n.canon = d.line),
 per_doc AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names FROM hits GROUP BY doc_id)
-SELECT d.doc_id, CAST(length(array_to_string(d.lines, ' ')) AS BIGINT) AS n_canonical, sha256(array_to_string(d.lines, ' ')) AS canonical_sha256,
+SELECT d.doc_id, CAST(length(d.canon) AS BIGINT) AS n_canonical, sha256(d.canon) AS canonical_sha256,
   k.license, CAST(coalesce(p.n, 0) AS BIGINT) AS n_license_lines, coalesce(p.names, '') AS line_licenses
-FROM docs d LEFT JOIN known k ON k.canon = array_to_string(d.lines, ' ') LEFT JOIN per_doc p ON p.doc_id = d.doc_id
+FROM docs d LEFT JOIN known k ON k.sha = sha256(d.canon) LEFT JOIN per_doc p ON p.doc_id = d.doc_id
 """
