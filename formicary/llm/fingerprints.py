@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formicary.llm.neardup import groups_of_bands, nodes_of, shingle_sets
+from formicary.llm.neardup import groups_of_bands, nodes_of, rows_of, shingle_sets
 from formicary.llm.ranges import descending_with_next
-from formicary.llm.shared import arrow_map, materialize
+from formicary.llm.shared import arrow_map, materialize, written
 from formicary.llm.wordhash import minhash, mix, permutations
 
 PERMUTATIONS = 128
@@ -105,7 +105,7 @@ def _banded(seed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = permutations(PERMUTATIONS, seed)
         for batch in batches:
-            for lo, hi, sets, offsets in shingle_sets(batch.column(1), SHINGLE):
+            for lo, hi, sets, offsets in shingle_sets(batch.column(2), SHINGLE):
                 mins = minhash(sets, offsets, a, b).astype(np.uint64)
                 bands = np.empty((hi - lo, BANDS), np.uint64)
                 for k in range(BANDS):
@@ -115,7 +115,7 @@ def _banded(seed: int) -> Callable:
                     bands[:, k] = value
                 empty = np.diff(offsets) == 0
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offsets)), pa.array(nodes_of(sets, offsets), mask=empty), listed], ["doc_id", "n_shingles", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(offsets)), pa.array(nodes_of(sets, offsets), mask=empty), listed], ["doc_id", "row", "n_shingles", "node", "bands"])
 
     return run
 
@@ -125,10 +125,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     doc_id, n_shingles, component_id and kept, as `neardup.near_duplicates` has them.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = materialize(arrow_map(narrow, _banded(seed), "doc_id long, n_shingles long, node long, bands array<long>"), "bands")
+    since = written()
+    narrow = rows_of(docs, id_col, text_col)
+    found = materialize(arrow_map(narrow, _banded(seed), "doc_id long, row long, n_shingles long, node long, bands array<long>"), "bands")
     banded = found.filter("node is not null").select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("key")
     live = banded.join(shared, "key", "left_semi").groupBy("node").agg(F.max("n").alias("n"), F.collect_set("key").alias("first"))
     bands = live.withColumn("second", F.array(F.lit(0).cast("long")))  # one band makes a key here
-    return groups_of_bands(narrow, found.select("doc_id", "n_shingles", "node"), bands, SHINGLE, similarity)
+    return groups_of_bands(narrow, found.select("doc_id", "row", "n_shingles", "node"), bands, SHINGLE, similarity, since)

@@ -8,9 +8,12 @@ other document has are left out before.
 
 Documents with the same shingle set are one node. Within a bucket every member that shares a key with
 the bucket's pivot is compared with it, on full sets; the links give components. Buckets whose other
-members are still in several components are compared in full, key by key, but only across components, in
-blocks of bounded weight that return spanning links. So every link between texts that share a key counts,
-and no step emits all pairs.
+members are still in several components are compared in full, but only across components, in blocks of bounded
+weight that return spanning links; a bucket of more than a block is first split by its full keys. Within a block
+two sets are looked at only if they share one of their rarest shingles, as sets that are similar enough must. So
+every link between texts that share a key counts, and no step emits all pairs.
+
+Rows meet nodes by joins that deal hot nodes and hot components at random.
 
 A node is the 64-bit hash of its set: among n distinct sets two agree with probability n*n / 2**65.
 """
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from formicary.llm.components import components
-from formicary.llm.shared import arrow_map, flat_bytes, materialize
+from formicary.llm.shared import arrow_map, flat_bytes, join_spread, materialize, settle, written
 from formicary.llm.wordhash import distinct_sets, minhash, mix, permutations, windows, word_slices
 
 #: Bands in each of the two collections, and minhashes in a band.
@@ -37,7 +40,7 @@ BLOCK_SHINGLES = 2_000_000
 #: Bits of the filter on candidate documents, at most: 1 MB, whatever the corpus.
 FILTER_BITS = 1 << 23
 
-SIGNATURE = "doc_id long, n_shingles long, node long, halves array<long>"
+SIGNATURE = "doc_id long, row long, n_shingles long, node long, halves array<long>"
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -71,38 +74,46 @@ def _signatures(size: int, bands: int, rows: int, seed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = permutations(2 * bands * rows, seed)
         for batch in batches:
-            for lo, hi, sets, offsets in shingle_sets(batch.column(1), size):
+            for lo, hi, sets, offsets in shingle_sets(batch.column(2), size):
                 n = np.diff(offsets)
                 halves = halves_of(minhash(sets, offsets, a, b), bands, rows)
                 empty = n == 0
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * 2 * bands), pa.array(halves.ravel()))
                 listed = pa.array([None if e else x for e, x in zip(empty, listed, strict=True)], pa.list_(pa.int64())) if empty.any() else listed
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(nodes_of(sets, offsets), mask=empty), listed], ["doc_id", "n_shingles", "node", "halves"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(nodes_of(sets, offsets), mask=empty), listed], ["doc_id", "row", "n_shingles", "node", "halves"])
 
     return run
 
 
 def _sets(size: int) -> Callable:
+    """The sets of the texts whose set is the node's; two rows' hashes may agree by chance."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, sets, offsets in shingle_sets(batch.column(0), size):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes_of(sets, offsets), mask=np.diff(offsets) == 0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64)))], ["node", "shingles"])
+            for lo, hi, sets, offsets in shingle_sets(batch.column(2), size):
+                part = batch.slice(lo, hi - lo)
+                out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64)))], ["node", "second", "shingles"])
+                yield out.filter(pa.array(part.column(0).to_numpy() == nodes_of(sets, offsets)))
 
     return run
 
 
-def _candidate_sets(docs: DataFrame, exemplars: DataFrame, size: int) -> DataFrame:
-    """(node, second, shingles) of the nodes in exemplars (node, second, doc_id), from a second look at their texts.
+def _candidate_sets(narrow: DataFrame, exemplars: DataFrame, size: int) -> DataFrame:
+    """(node, second, shingles) of the nodes in exemplars (row, node, second), from a second look at one text of each.
 
-    A bitmap of FILTER_BITS over hashed ids keeps the other texts from being hashed again; what it lets
-    through by chance goes in the join.
+    A bitmap over the hashed rows keeps most other texts from the shuffle, as long as it isn't too full for that;
+    what it lets through meets the exemplars row by row, and only then are shingles hashed.
     """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    word, bit = F.expr("shiftright(_slot, 6)"), F.expr("shiftleft(1L, cast(_slot & 63 as int))")
-    bitmap = exemplars.select(slot.alias("_slot")).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    likely = docs.withColumn("_slot", slot).join(F.broadcast(bitmap), word == F.col("_word")).filter(F.col("_bits").bitwiseAND(bit) != 0)
-    found = arrow_map(likely.select("text"), _sets(size), "node long, shingles array<long>").dropDuplicates(["node"])
-    return found.join(exemplars.select("node", "second"), "node")
+    wanted = exemplars.count()
+    likely = narrow
+    if 2 * wanted <= FILTER_BITS:
+        bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * wanted).bit_length()))
+        slot = F.pmod("row", F.lit(bits))
+        word, bit = F.expr("shiftright(_slot, 6)"), F.expr("shiftleft(1L, cast(_slot & 63 as int))")
+        bitmap = exemplars.select(slot.alias("_slot")).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))  # bits / 64 rows at most
+        likely = narrow.withColumn("_slot", slot).join(F.broadcast(bitmap), word == F.col("_word")).filter(F.col("_bits").bitwiseAND(bit) != 0)
+    texts = likely.select("row", "text").groupBy("row").agg(F.first("text").alias("text"))  # repeated rows are one
+    return arrow_map(texts.join(exemplars, "row").select("node", "second", "text"), _sets(size), "node long, second array<long>, shingles array<long>")
 
 
 class _Forest:
@@ -110,19 +121,15 @@ class _Forest:
         _, first, self.of = np.unique(labels, return_index=True, return_inverse=True)
         self.up = np.arange(len(first))
 
+    def roots(self, rows: np.ndarray) -> np.ndarray:
+        at = self.of[rows]
+        while (self.up[at] != at).any():
+            self.up[at] = self.up[self.up[at]]
+            at = self.up[at]
+        return at
+
     def root(self, k: int) -> int:
-        k = self.of[k]
-        while self.up[k] != k:
-            self.up[k] = self.up[self.up[k]]
-            k = self.up[k]
-        return k
-
-    def roots(self) -> np.ndarray:
-        up = self.up
-        while (up[up] != up).any():
-            up = up[up]
-        self.up = up
-        return up[self.of]
+        return int(self.roots(np.array([k]))[0])
 
     def join(self, a: int, b: int) -> None:
         self.up[self.root(a)] = self.root(b)
@@ -132,44 +139,57 @@ class _Inverted:
     """Which rows hold each value of their lists."""
 
     def __init__(self, values: np.ndarray, offsets: np.ndarray) -> None:
-        self.n, self.offsets = len(offsets) - 1, offsets
-        owner = np.repeat(np.arange(self.n), np.diff(offsets))
+        self.n, self.offsets, self.values = len(offsets) - 1, offsets, values
+        self.owner = np.repeat(np.arange(self.n), np.diff(offsets))
         order = np.argsort(values, kind="stable")
-        sorted_, self.owners = values[order], owner[order]
+        sorted_, self.owners = values[order], self.owner[order]
         self.cut = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(values) else np.zeros(0, np.int64)
         self.width = np.diff(np.append(self.cut, len(sorted_)))
         self.which = np.empty(len(values), np.int64)
         self.which[order] = np.repeat(np.arange(len(self.cut)), self.width)
 
-    def common(self, y: int) -> np.ndarray:
-        """By row, how many values it has in common with row y."""
+    def holders(self, y: int) -> np.ndarray:
+        """The rows that hold a value of row y, once for each such value."""
         terms = self.which[self.offsets[y] : self.offsets[y + 1]]
         w = self.width[terms]
-        at = np.repeat(self.cut[terms] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))
-        return np.bincount(self.owners[at], minlength=self.n)
+        return self.owners[np.repeat(self.cut[terms] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))]
+
+    def common(self, y: int, rows: np.ndarray) -> np.ndarray:
+        """How many values each of the rows has in common with row y."""
+        if len(rows) > 32:
+            return np.bincount(self.holders(y), minlength=self.n)[rows]
+        own = self.values[self.offsets[y] : self.offsets[y + 1]]
+        return np.array([np.isin(self.values[self.offsets[x] : self.offsets[x + 1]], own, assume_unique=True).sum() for x in rows], np.int64)
+
+    def rarest(self, amount: np.ndarray) -> _Inverted:
+        """The same of the `amount` rarest values of each row, in one order for all rows."""
+        order = np.lexsort((self.which, self.width[self.which], self.owner))
+        place = np.arange(len(order)) - self.offsets[self.owner]
+        return _Inverted(self.values[order[place < amount[self.owner]]], np.concatenate([[0], np.cumsum(amount)]))
 
 
 def spanning_links(nodes: np.ndarray, labels: np.ndarray, side: np.ndarray, seconds: _Inverted, sets: _Inverted, num: int, den: int) -> list[tuple[int, int]]:
     """Links that join the labels as all links between rows that share a key would.
 
     num/den is the least similarity. side: rows of different sides are compared, or all rows if there is
-    one side only. Counts common values through inverted indexes, for the rows outside the most frequent label.
+    one side only. Rows outside the most frequent label look for partners among the holders of their rarest
+    shingles: of n shingles so similar sets share num/den*n at least, hence one of the n - that + 1 rarest of each.
     """
     n = np.diff(sets.offsets)
+    heads = sets.rarest(np.where(n > 0, n + (-num * n) // den + 1, 0))
     forest = _Forest(labels)
     names, amount = np.unique(labels, return_counts=True)
     major = names[amount.argmax()]
     out = []
     one_side = side.min() == side.max()
     for y in np.flatnonzero(labels != major):
-        rows = (forest.roots() != forest.root(y)) & (seconds.common(y) > 0)
-        if not one_side:
-            rows &= side != side[y]
-        if not rows.any():
+        rows = np.unique(heads.holders(y))
+        rows = rows[(forest.roots(rows) != forest.root(y)) & (one_side | (side[rows] != side[y]))]
+        if not len(rows):
             continue
-        common = sets.common(y)
-        hit = rows & (common > 0) & (den * common >= num * (n + n[y] - common))
-        for x in np.flatnonzero(hit):
+        common = sets.common(y, rows)
+        rows = rows[den * common >= num * (n[rows] + n[y] - common)]
+        for x in rows[seconds.common(y, rows) > 0] if len(rows) else ():
             if forest.root(x) != forest.root(y):
                 forest.join(x, y)
                 out.append((int(nodes[y]), int(nodes[x])))
@@ -190,12 +210,23 @@ def _compare_blocks(num: int, den: int) -> Callable:
     return run
 
 
-def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _open(members: DataFrame) -> DataFrame:
+    """(bucket, _weight) of the buckets of members (bucket, node, n, label) with several labels; of those with the same members, one."""
+    state = members.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("label").alias("_a"), F.max("label").alias("_b"), F.min("node").alias("_c"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.sum("n").alias("_weight")).filter("_a < _b")
+    return state.groupBy("_n", "_c", "_x").agg(F.min("bucket").alias("bucket"), F.max("_weight").alias("_weight")).select("bucket", "_weight")
+
+
+def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, bands: DataFrame, num: int, den: int) -> DataFrame:
     """Links (u, v) between non-pivot members of a bucket that are in different components so far."""
     labelled = members.filter("node <> pivot").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).select("bucket", "node", "n", "label")
-    state = labelled.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("label").alias("_a"), F.max("label").alias("_b"), F.min("node").alias("_c"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.sum("n").alias("_weight")).filter("_a < _b")
-    once = state.groupBy("_n", "_c", "_x").agg(F.min("bucket").alias("bucket"), F.max("_weight").alias("_weight"))
-    open_ = labelled.join(once.select("bucket", F.ceil(F.col("_weight") / BLOCK_SHINGLES).cast("int").alias("_blocks")), "bucket")
+    once = materialize(_open(labelled), "open")
+    open_ = labelled.join(once.filter(F.col("_weight") <= BLOCK_SHINGLES), "bucket")
+    wide = once.filter(F.col("_weight") > BLOCK_SHINGLES).select("bucket")
+    if not wide.isEmpty():  # by their full keys
+        keyed = labelled.join(wide, "bucket").join(bands.select("node", F.explode("second").alias("_second")), "node")
+        keyed = materialize(keyed.select(F.xxhash64("bucket", "_second").alias("bucket"), "node", "n", "label"), "keyed")
+        open_ = open_.union(keyed.join(_open(keyed), "bucket"))
+    open_ = open_.withColumn("_blocks", F.ceil(F.col("_weight") / BLOCK_SHINGLES).cast("int"))
     dealt = open_.withColumn("_side", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = dealt.withColumn("_lo", F.least("_side", "_other")).withColumn("_hi", F.greatest("_side", "_other")).select("bucket", "_lo", "_hi", "node", "label", "_side")
     return dealt.join(sets, "node").groupBy("bucket", "_lo", "_hi").applyInArrow(_compare_blocks(num, den), "u long, v long")
@@ -212,7 +243,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts are equal. An empty table gives no rows; other columns of docs are left out. carried: more columns
     to return, of node (the set's hash) and _group (that of the component).
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    since = written()
+    narrow = rows_of(docs, id_col, text_col)
     found = materialize(arrow_map(narrow, _signatures(shingle, bands, rows, seed), SIGNATURE), "signatures")
     some = found.filter("node is not null")
 
@@ -220,26 +252,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = halves.groupBy("half").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("half")
     live = halves.join(shared, "half", "left_semi")
     bands = live.groupBy("node").agg(F.max("n").alias("n"), F.collect_set(F.when(F.col("half") % 2 == 0, F.col("half"))).alias("first"), F.collect_set(F.when(F.col("half") % 2 != 0, F.col("half"))).alias("second"))
-    return groups_of_bands(narrow, found.select("doc_id", "n_shingles", "node"), bands.filter("size(first) > 0 and size(second) > 0"), shingle, similarity, carried)
+    return groups_of_bands(narrow, found.select("doc_id", "row", "n_shingles", "node"), bands.filter("size(first) > 0 and size(second) > 0"), shingle, similarity, since, carried)
+
+
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row, text): row is a hash of both, the same for rows that repeat."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return narrow.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
 
 
-def groups_of_bands(narrow: DataFrame, found: DataFrame, bands: DataFrame, shingle: int, similarity: tuple[int, int], carried: tuple[str, ...] = ()) -> DataFrame:
+def groups_of_bands(narrow: DataFrame, found: DataFrame, bands: DataFrame, shingle: int, similarity: tuple[int, int], since: int, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for the links between documents that share a table key.
 
-    narrow (doc_id, text) has the texts; found (doc_id, n_shingles, node) a row for each of them; bands
-    (node, n, first, second) the shared bands of each node: a key is one of `first` with one of `second`.
+    narrow (doc_id, row, text) has the texts; found (doc_id, row, n_shingles, node) a row for each of them; bands
+    (node, n, first, second) the shared bands of each node: a key is one of `first` with one of `second`. Only the
+    result stays of the tables written since `written()` was `since`.
     """
     num, den = similarity
-    some = found.filter("node is not null")
     bands = materialize(bands, "bands")
     rows = bands.select("node", "n", F.explode("first").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("node").alias("pivot"), F.max("node").alias("_last"), F.bit_xor(F.xxhash64("node")).alias("_x")).filter("_n > 1")
     buckets = buckets.groupBy("pivot", "_last", "_n", "_x").agg(F.min("bucket").alias("bucket")).select("bucket", "pivot")  # of buckets with the same members, one
     members = materialize(rows.join(buckets, "bucket"), "members")
 
-    exemplars = some.select("node", "doc_id").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    exemplars = materialize(exemplars.join(bands.select("node", "second"), "node"), "exemplars")
-    sets = materialize(_candidate_sets(narrow, exemplars, shingle), "sets")
+    nodes = materialize(found.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row")), "nodes")
+    exemplars = nodes.select("node", "row").join(members.select("node").distinct(), "node", "left_semi").join(bands.select("node", "second"), "node")
+    sets = materialize(_candidate_sets(narrow, materialize(exemplars, "exemplars"), shingle), "sets")
 
     pairs = members.filter("node <> pivot").select("pivot", "node").distinct()
     keyed = pairs.join(bands.select(F.col("node").alias("pivot"), F.col("second").alias("_k")), "pivot").join(bands.select("node", "second"), "node").filter(F.arrays_overlap("_k", "second")).select("pivot", "node")
@@ -247,13 +285,14 @@ def groups_of_bands(narrow: DataFrame, found: DataFrame, bands: DataFrame, shing
     common = F.size(F.array_intersect("_p", "_s"))
     linked = both.withColumn("_common", common).filter(den * F.col("_common") >= num * (F.size("_p") + F.size("_s") - F.col("_common")))
     links = materialize(linked.select(F.col("pivot").alias("u"), F.col("node").alias("v")), "links")
-    more = materialize(_across(members, components(links), sets, num, den), "links")
+    more = materialize(_across(members, components(links), sets, bands, num, den), "links")
     labels = components(links.union(more))
 
-    named = found.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("_group", F.coalesce("component", "node"))
-    named = materialize(named.select("doc_id", "n_shingles", *(c for c in carried if c != "_group"), "_group"), "groups")
-    least = named.filter("_group is not null").groupBy("_group").agg(F.min("doc_id").alias("_least"))
-    out = named.join(least, "_group", "left").withColumn("component_id", F.when(F.col("_group").isNull(), F.col("doc_id")).otherwise(F.col("_least")))
+    grouped = materialize(nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("_group")), "groups")
+    least = grouped.groupBy("_group").agg(F.min("doc_id").alias("_least"))
+    named = join_spread(found, join_spread(grouped.select("node", "_group"), least, "_group", ["_least"]), "node", ["_group", "_least"])
+    named = settle(named.select("doc_id", "n_shingles", *dict.fromkeys([*carried, "node", "_group", "_least"])), "named", since)
+    out = named.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_least")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), *carried)
 
 
@@ -275,7 +314,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows that repeat an id are told apart by their texts: of those that are near-duplicates one stays, the rest
     are documents of their own. Rows without an id can't be named and stay.
     """
-    verdicts = materialize(near_duplicates(docs, id_col, text_col, carried=("node", "_group"), **how), "verdicts").filter("doc_id is not null")
+    since = written()
+    verdicts = settle(near_duplicates(docs, id_col, text_col, carried=("node", "_group"), **how), "verdicts", since).filter("doc_id is not null")
     key = F.col(id_col).cast("long")
     dropped = verdicts.filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
     repeated = materialize(verdicts.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")

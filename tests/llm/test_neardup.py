@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 import random
+import time
+from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -11,6 +15,8 @@ from formicary.llm.components import components
 from formicary.llm.fingerprints import similar_documents
 from tests.llm.helpers import SCHEMA, frame, odd_documents, rows_of, words
 
+SF = "/root/testdata/sf0.1"
+
 
 def shingles(text, size):
     w = (text or "").encode().lower().split()
@@ -65,6 +71,47 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert rows_of(neardup.near_duplicates(frame(spark, rows), shingle=3, similarity=(85, 100))) == brute_force(rows, 3, 85, 100)
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
+def test_all_groups_of_the_tables_are_found(spark):
+    """Every component of sf0.1, by pairs that share one of their rarest shingles and then plain sets."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, shingles(r.text, 3)) for r in docs.select("doc_id", "text").collect()]
+    often = Counter(x for _, s in rows for x in s)
+    up = {d: d for d, _ in rows}
+
+    def root(d):
+        while up[d] != d:
+            up[d] = up[up[d]]
+            d = up[d]
+        return d
+
+    sets, holders = dict(rows), defaultdict(list)
+    for d, s in rows:
+        for x in sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-85 * len(s) // 100) + 1]:
+            for other in holders[x]:
+                if root(other) != root(d) and 100 * len(s & sets[other]) >= 85 * len(s | sets[other]):
+                    up[max(root(d), root(other))] = min(root(d), root(other))
+            holders[x].append(d)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, shingle=3, similarity=(85, 100)).collect()}
+    assert got == {d: root(d) for d in up} and len(set(got.values())) < len(got) - 500
+
+
+def test_unlike_texts_of_one_bucket_cost_in_proportion():
+    """4,000 variants with a common passage, none near another: looked up by their rare shingles, not pair by pair."""
+    draw = np.random.default_rng(1)
+    sets = [np.concatenate([np.arange(150), 1000 + 200 * k + draw.integers(0, 200, 150)]) for k in range(4000)]
+    sets = [np.unique(x) for x in sets]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    inverted, seconds = neardup._Inverted(np.concatenate(sets), offsets), neardup._Inverted(np.zeros(4000, np.int64), np.arange(4001))
+    began = time.perf_counter()
+    assert neardup.spanning_links(np.arange(4000), np.arange(4000), np.zeros(4000, int), seconds, inverted, 80, 100) == []
+    assert time.perf_counter() - began < 8
+    near = [*sets[:50], *(np.append(x, 10**7 + k) for k, x in enumerate(sets[:50]))]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in near])])
+    found = neardup.spanning_links(np.arange(100), np.arange(100), np.zeros(100, int), neardup._Inverted(np.zeros(100, np.int64), np.arange(101)), neardup._Inverted(np.concatenate(near), offsets), 80, 100)
+    assert sorted(tuple(sorted(x)) for x in found) == [(k, 50 + k) for k in range(50)]
+
+
 def test_signature_bands_find_the_same_groups(spark):
     rows = odd_documents() + [(100 + k, t, None, None, None) for k, t in enumerate(copies(4, 25, 4))]
     assert rows_of(similar_documents(frame(spark, rows))) == brute_force(rows, 5, 80, 100)
@@ -102,6 +149,6 @@ def test_components_of_chains_and_cycles(spark):
 
 def test_tensored_bands_are_reproducible():
     column = pa.array(["a b c d e", None, "a b c d e f"])
-    one, two = (list(neardup._signatures(3, 12, 3, 1)(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), column], ["doc_id", "text"])]))) for _ in range(2))
+    one, two = (list(neardup._signatures(3, 12, 3, 1)(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([4, 5, 6]), column], ["doc_id", "row", "text"])]))) for _ in range(2))
     assert [x.to_pylist() for x in one] == [x.to_pylist() for x in two]
     assert one[0].column("halves")[1].as_py() is None
