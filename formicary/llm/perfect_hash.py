@@ -42,7 +42,7 @@ class PerfectHash:
             flags = np.zeros(-(-size // 64) * 64, np.uint8)
             flags[at[alone]] = 1
             bits = np.packbits(flags, bitorder="little").view(np.uint64)
-            ranks = out.n + np.concatenate([[0], np.cumsum(np.bitwise_count(bits).astype(np.int64))[:-1]])
+            ranks = (out.n + np.concatenate([[0], np.cumsum(np.bitwise_count(bits).astype(np.int64))[:-1]])).astype(np.uint32 if len(keys) < 1 << 32 else np.int64)
             out.sizes.append(size)
             out.bits.append(bits)
             out.ranks.append(ranks)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -36,10 +37,11 @@ def documents():
     return rows
 
 
-@pytest.mark.parametrize(("shard", "room"), [(50_000, 64 << 20), (1, 100)])
-def test_lines_are_those_of_brute_force(spark, monkeypatch, shard, room):
-    """One shard, and a shard a line with a pass for each group of them."""
+@pytest.mark.parametrize(("shard", "room", "hot"), [(50_000, 64 << 20, 1000), (1, 100, 2), (2, 100, 0), (50_000, 1, 1000)])
+def test_lines_are_those_of_brute_force(spark, monkeypatch, shard, room, hot):
+    """Broadcast; and dealt to a shard a line, a shard of two lines, and one shard in several copies."""
     monkeypatch.setattr(lines, "KEYS_PER_SHARD", shard)
+    monkeypatch.setattr(lines, "HOT_KEYS", hot)
     rows = documents()
     out = lines.dedup_lines(frame(spark, rows), broadcast_bytes=room)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_lines", "n_dropped"]
@@ -47,6 +49,31 @@ def test_lines_are_those_of_brute_force(spark, monkeypatch, shard, room):
     assert sum(r[3] for r in brute_force(rows)) > 10
 
 
+def test_many_lines_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(lines, "KEYS_PER_SHARD", 20)
+    monkeypatch.setattr(lines, "HOT_KEYS", 3)
+    common = [f"line number {k} of several hundred that are common, no less" for k in range(300)]
+    draw = random.Random(1)
+    rows = [(k, "\n".join([common[0], *draw.sample(common, 12), f"own line of document {k} that is long enough, too"]), "en", "s", 1) for k in range(150)]
+    rows += [(None, "\n".join(common[:20]), "en", "s", 1)] * 3 + [(7, rows[7][1], "en", "s", 1)]
+    out = lines.dedup_lines(frame(spark, rows), broadcast_bytes=10)
+    assert rows_of(out, "doc_id", "text", "n_lines", "n_dropped") == brute_force(rows)
+
+
+def test_shard_arrays_are_compact_and_read(spark):
+    draw = np.random.default_rng(4)
+    hi, lo = draw.integers(-(1 << 63), 1 << 63, (2, 5000))
+    n_docs, keeper = draw.integers(2, 900, 5000), draw.integers(10**12, 10**12 + 60_000, 5000)
+    shard = lines.Shard.build(hi, lo, n_docs, keeper, 200)
+    assert shard.counts.dtype == np.uint8 and shard.keepers.dtype == np.uint16 and shard.low.itemsize + shard.high.itemsize == lines.FINGER_BITS // 8
+    for least in (2, 50, 200):
+        assert (shard.dropped(hi, lo, np.zeros(5000, np.int64), least) == (n_docs >= least)).all()
+    assert not shard.dropped(hi, lo, keeper, 2).any()
+    assert not shard.dropped(lo, hi, np.zeros(5000, np.int64), 2).any()
+    odd = lines.Shard.build(hi[:2], lo[:2], n_docs[:2], np.array([lines.NO_ID, (1 << 63) - 1]), 5)
+    assert odd.dropped(hi[:2], lo[:2], np.array([0, (1 << 63) - 1]), 2).tolist() == [True, False]
+
+
 def test_clashing_columns_and_empty_table(spark):
     clash = frame(spark, documents()).withColumnRenamed("lang", "n_lines").withColumnRenamed("source", "hi")
     assert rows_of(lines.dedup_lines(clash), "doc_id", "text", "n_lines", "n_dropped") == brute_force(documents())
