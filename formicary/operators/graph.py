@@ -80,3 +80,9 @@ def drawing(places: DataFrame, links: DataFrame, path: DataFrame) -> DataFrame:
 def ranked(weights: DataFrame, weight: str, name: str) -> DataFrame:
     """Rows by falling weight, ties by name, with their position from 1."""
     return weights.orderBy(F.desc(weight), name).withColumn("position", F.row_number().over(Window.orderBy(F.desc(weight), name)))
+
+
+def described(shares: DataFrame) -> DataFrame:
+    """(position, line): visit shares from the most visited on, each as a line such as `forest: 12 (3.50%)`."""
+    line = F.format_string("%s: %d (%.2f%%)", "habitat", "visits", F.round("percent", 2))
+    return ranked(shares, "visits", "habitat").select("position", line.alias("line"))

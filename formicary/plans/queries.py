@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from formicary.operators import counts, graph, markov, sketches, store, windows
 from formicary.plans.engine import Engine
-from formicary.schema import HABITATS, ROLES, SPECIES, decode, encode, organisms
+from formicary.schema import HABITATS, ROLES, SPECIES, encode, judged, organisms
+from formicary.streaming import streams
 
 DAY = 86_400
 #: The tables span 30 days at a few hundred events a day, so windows are days here.
@@ -103,8 +104,7 @@ def decode_events(org: DataFrame) -> DataFrame:
     lines = encode(org.withColumn("seq", F.col("id")))
     number = F.regexp_extract("value", '"_id":"(\\d+)"', 1).cast("long") % 10
     spoilt = F.when(number == 0, F.expr("left(value, length(value) - 5)")).when(number == 1, F.regexp_replace("value", '"event":"[a-z]+",', "")).when(number == 2, F.regexp_replace("value", '"eventTime":"[^"]*"', '"eventTime":"soon"')).otherwise(F.col("value"))
-    good, bad = decode(lines.select(spoilt.alias("value")))
-    return good.select(F.lit("good").alias("outcome")).unionByName(bad.select(F.col("reason").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("n"))
+    return judged(lines.select(spoilt.alias("value"))).groupBy(F.coalesce("_reason", F.lit("good")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
 # --- windows ----------------------------------------------------------------------------------
@@ -152,6 +152,19 @@ def distinct_species(org: DataFrame) -> DataFrame:
     return windows.distinct_species(store.recent(org, DAY, store.as_of(org)))
 
 
+@query("""SELECT strftime(time_bucket(INTERVAL 1 day, ts) - to_days(CAST(k AS INT)), '%Y-%m-%d') AS window_day, species, role, count(*) AS n FROM org, range(3) AS r(k) GROUP BY ALL""")
+def hopping_window_counts(org: DataFrame) -> DataFrame:
+    """The stream's hopping windows, of three days every day, over the whole table."""
+    counted = streams.window_counts(org.withColumn("ts", F.col("ts").cast("timestamp")), "3 days", "1 day")
+    return counted.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_day"), "species", "role", "n")
+
+
+@query("SELECT species, role, count(*) AS n FROM org GROUP BY ALL")
+def running_counts(org: DataFrame) -> DataFrame:
+    """The stream's counts over all so far, of the whole table."""
+    return streams.running_counts(org)
+
+
 # --- counts and score -------------------------------------------------------------------------
 
 
@@ -160,6 +173,12 @@ def mapreduce_counts(org: DataFrame) -> DataFrame:
     return counts.map_reduce(org)
 
 
+@query("""SELECT item, count(*) AS n FROM (SELECT 'species:' || species AS item FROM org UNION ALL SELECT 'role:' || role FROM org UNION ALL SELECT 'event:' || event FROM org) GROUP BY item""")
+def merged_counts(org: DataFrame) -> DataFrame:
+    """Counts of three parts of the table, added up."""
+    return counts.merge_counts(*(counts.map_reduce(org.filter(F.col("id") % 3 == k)) for k in range(3)))
+
+
 _SCORE = """m AS (SELECT species, avg(abs(ecological_impact)) AS a, avg(population_density) AS d FROM {0} GROUP BY species),
 s AS (SELECT species, a, d, a / 50 * (1000.0 / d) AS score FROM m)
 SELECT species, round(a, 8) AS avg_impact, round(d, 8) AS avg_density, round(score, 8) AS score, round(score / sum(score) OVER (), 8) AS share FROM s"""
@@ -281,7 +300,13 @@ def dgim_reference(org: DataFrame) -> DataFrame:
     return sketches.dgim_replay(rows, "bit")
 
 
-@query()
+@query(f"""WITH o AS (SELECT species, role, ts, age_s, row_number() OVER (PARTITION BY species, role ORDER BY ts, id) AS r FROM aged WHERE event = '{EVENT}'),
+t AS (SELECT species, role, count(*) AS n, count(*) FILTER (WHERE age_s <= {5 * DAY}) AS ones FROM o GROUP BY ALL),
+d AS (SELECT species, role, n, CAST(1 AS BIGINT) AS size, n AS rest, CAST(0 AS BIGINT) AS newer, CASE WHEN n % 2 = 0 THEN 2 ELSE 1 END AS digit FROM t
+ UNION ALL SELECT species, role, n, size * 2, (rest - digit) // 2, newer + digit * size, CASE WHEN ((rest - digit) // 2) % 2 = 0 THEN 2 ELSE 1 END FROM d WHERE (rest - digit) // 2 > 0),
+b AS (SELECT species, role, size, n - newer AS r FROM d UNION ALL SELECT species, role, size, n - newer - size FROM d WHERE digit = 2),
+l AS (SELECT species, role, sum(size) AS total, arg_min(size, r) AS oldest FROM b JOIN o USING (species, role, r) WHERE age_s <= {5 * DAY} GROUP BY ALL)
+SELECT species, role, ones, CAST(coalesce(floor(total - oldest / 2), 0) AS BIGINT) AS estimate FROM t LEFT JOIN l USING (species, role)""")
 def dgim_standard(org: DataFrame) -> DataFrame:
     """The published counter for each species and role, a window of five days in all of the history."""
     return sketches.dgim_estimate(org.withColumn("bit", sketches.bit_of(EVENT)), "bit", 5 * DAY, store.as_of(org))
@@ -314,6 +339,17 @@ def walk_frequency(org: DataFrame) -> DataFrame:
     return graph.visit_shares(paths).select("habitat", "visits", F.round("percent", 8).alias("percent"))
 
 
+@query(f"""WITH {_PLACES}, e AS (SELECT a.habitat AS h1, b.habitat AS h2 FROM v a JOIN v b ON a.habitat < b.habitat WHERE {_KM} <= 100),
+nb AS (SELECT h, n, row_number() OVER (PARTITION BY h ORDER BY n) - 1 AS k, count(*) OVER (PARTITION BY h) AS d FROM (SELECT h1 AS h, h2 AS n FROM e UNION ALL SELECT h2, h1 FROM e)),
+walk AS (SELECT CAST(w AS BIGINT) AS w, 0 AS step, list_sort({sorted(HABITATS)!r})[w % 4 + 1] AS h FROM range({WALKS}) AS t(w)
+ UNION ALL SELECT walk.w, step + 1, nb.n FROM walk JOIN nb ON nb.h = walk.h AND nb.k = CAST('0x' || substr(sha256(walk.w || ':' || (step + 1)), 1, 8) AS BIGINT) % nb.d WHERE step < {STEPS}),
+c AS (SELECT h, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM walk), 2) AS p FROM walk GROUP BY h)
+SELECT CAST(row_number() OVER (ORDER BY n DESC, h) AS INT) AS position, printf('%s: %d (%.2f%%)', h, n, p) AS line FROM c""")
+def walk_ranking(org: DataFrame) -> DataFrame:
+    """The same, from the most visited habitat on, as lines to show."""
+    return graph.described(graph.visit_shares(graph.walks(_starts(org), graph.edges(graph.vertices(org), 100.0), STEPS)))
+
+
 # --- Markov -----------------------------------------------------------------------------------
 
 _CHAIN = """p AS (SELECT event, lead(event) OVER (ORDER BY ts, event) AS nxt FROM org),
@@ -348,9 +384,23 @@ def recurrent_states(org: DataFrame) -> DataFrame:
     return markov.on_cycle(chain.filter("p > 0.2"), states).distinct()
 
 
-@query()
+_CLASSES = f"""{_CHAIN}, s AS (SELECT f AS s FROM ch UNION SELECT t FROM ch), k AS (SELECT f, t FROM ch WHERE p > 0.2), bound AS (SELECT 3 * count(*) AS most FROM s),
+paths AS (SELECT f AS a, t AS b, 1 AS d FROM k UNION SELECT paths.a, k.t, d + 1 FROM paths JOIN k ON k.f = paths.b, bound WHERE d < most),
+pair AS (SELECT DISTINCT a, b FROM paths),
+class AS (SELECT s, least(s, coalesce((SELECT min(x.b) FROM pair x JOIN pair y ON y.a = x.b AND y.b = x.a WHERE x.a = s.s), s)) AS class FROM s)"""
+
+
+@query(f"""WITH {_CLASSES},
+open AS (SELECT DISTINCT c.class FROM k JOIN class c ON c.s = k.f JOIN class o ON o.s = k.t WHERE o.class <> c.class),
+cyclic AS (SELECT a AS s, list_reduce(list(DISTINCT d), lambda x, y: gcd(x, y)) AS period FROM paths WHERE a = b GROUP BY a)
+SELECT class.s AS state, class.class, cyclic.s IS NOT NULL AND open.class IS NULL AS recurrent, CAST(coalesce(period, 1) AS INT) AS period, coalesce(period, 1) = 1 AS aperiodic,
+ cyclic.s IS NOT NULL AND open.class IS NULL AND coalesce(period, 1) = 1 AS ergodic
+FROM class LEFT JOIN open ON open.class = class.class LEFT JOIN cyclic ON cyclic.s = class.s""")
 def state_classes(org: DataFrame) -> DataFrame:
-    return markov.classify(markov.transitions(org), 0.2)
+    """Classes are named by their least state."""
+    found = markov.classify(markov.transitions(org), 0.2)
+    least = found.groupBy("component").agg(F.min("state").alias("class"))
+    return found.join(least, "component").select("state", "class", "recurrent", "period", "aperiodic", "ergodic")
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from formicary.schema import EVENTS, HABITATS, ROLES, SPECIES, encode
 
+# fixed value: the topic of the messages
 TOPIC = "insect-events"
 
 

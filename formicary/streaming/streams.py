@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from formicary.operators.sketches import Dgim
 from formicary.operators.store import age_seconds, upsert
-from formicary.schema import decode
+from formicary.schema import judged, split_judged
 from formicary.shipping import ship
 
 
@@ -28,11 +28,13 @@ def ingest(messages: DataFrame, good_path: str, bad_path: str, checkpoint: str,
     """
 
     def both(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        good, bad = decode(batch, value)
-        good.write.mode("overwrite").parquet(f"{good_path}/batch={number}")
-        bad.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
-        batch.unpersist()
+        rows = judged(batch, value).persist()
+        try:
+            good, bad = split_judged(rows)
+            good.write.mode("overwrite").parquet(f"{good_path}/batch={number}")
+            bad.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
+        finally:
+            rows.unpersist()
 
     return messages.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -40,7 +42,9 @@ def ingest(messages: DataFrame, good_path: str, bad_path: str, checkpoint: str,
 def upserting(events: DataFrame, path: str, checkpoint: str, key: str = "id", seq: str = "ts", keep_hours: float | None = None, ts: str = "ts", **trigger):  # noqa: ANN201
     """Keep the last row of each key under path, as one version after another; returns the query.
 
-    A version is written in full next to the last one before it counts, so readers never see half of it.
+    A version is written in full next to the last one before it counts, so readers never see half of it. The last
+    two stay, for readers that are at the one before; older ones go. Each batch reads and writes the whole store,
+    so batches should be large against it; keep_hours bounds it.
     keep_hours: rows whose time is longer ago by the clock leave with the next version.
     """
     spark = events.sparkSession
@@ -52,18 +56,26 @@ def upserting(events: DataFrame, path: str, checkpoint: str, key: str = "id", se
         if keep_hours is not None:
             last = last.filter(~(age_seconds(F.current_timestamp(), ts) > keep_hours * 3600))
         last.write.mode("overwrite").parquet(f"{path}/v={number:012d}")
+        for old in versions(spark, path)[:-2]:
+            target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={old:012d}")
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def latest_version(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
-    """The newest whole version under path (below a number), None if there is none."""
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the whole versions under path, rising."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
-        return None
+        return []
     names = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    numbers = sorted(int(n[2:]) for n in names if n.startswith("v=") and (below is None or int(n[2:]) < below))
+    return sorted(int(n[2:]) for n in names if n.startswith("v="))
+
+
+def latest_version(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
+    """The newest whole version under path (below a number), None if there is none."""
+    numbers = [n for n in versions(spark, path) if below is None or n < below]
     return spark.read.parquet(f"{path}/v={numbers[-1]:012d}") if numbers else None
 
 

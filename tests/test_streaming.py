@@ -57,6 +57,7 @@ def test_upserts_keep_the_last(spark, tmp_path):
     got = {r.id: r.text for r in streams.latest_version(spark, f"{tmp_path}/out").collect()}
     assert got == {1: "c", 10: "a", 11: "b", 12: "c"}
     assert streams.latest_version(spark, f"{tmp_path}/none") is None
+    assert streams.versions(spark, f"{tmp_path}/out") == [1, 2]
     dated = spark.readStream.schema("id long, text string, seq long").json(f"{tmp_path}/in").withColumn("ts", F.when(F.col("id") == 1, F.current_timestamp()).otherwise(F.to_timestamp(F.lit("2024-01-01"))))
     finish(streams.upserting(dated, f"{tmp_path}/kept", f"{tmp_path}/ck2", seq="seq", keep_hours=2))
     assert [r.id for r in streams.latest_version(spark, f"{tmp_path}/kept").collect()] == [1]
@@ -82,3 +83,54 @@ def test_generated_stream_has_the_schema(spark):
     stream = generated_stream(spark, 2)
     assert stream.isStreaming and stream.columns == generated(spark, 1).columns
     assert streams.not_too_late(generated(spark, 3)).count() == 0
+
+
+class Recorder:
+    """Stands for a reader or writer: notes the format and the options that it is given."""
+
+    def __init__(self):
+        self.seen = {}
+
+    def format(self, name):
+        self.seen["format"] = name
+        return self
+
+    def option(self, key, value):
+        self.seen[key] = value
+        return self
+
+    def load(self):
+        return self
+
+    def select(self, *columns):
+        self.seen["columns"] = columns
+        return self
+
+
+def test_kafka_source_and_sink_options(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from pyspark.sql import DataFrame
+
+    from formicary.sources import events as sources
+
+    reader = Recorder()
+    sources.kafka_messages(SimpleNamespace(readStream=reader), "host:9092", starting="latest")
+    assert reader.seen == {"format": "kafka", "kafka.bootstrap.servers": "host:9092", "subscribe": "insect-events", "startingOffsets": "latest", "columns": ("value", "partition", "offset", "timestamp")}
+    writer, sent = Recorder(), []
+    monkeypatch.setattr(DataFrame, "writeStream", property(lambda df: sent.append(df) or writer), raising=False)
+    for owner in type(spark.range(1)).__mro__:
+        if "writeStream" in vars(owner):
+            monkeypatch.setattr(owner, "writeStream", property(lambda df: sent.append(df) or writer))
+    sources.to_kafka(generated(spark, 3), "host:9092", f"{tmp_path}/ck")
+    assert writer.seen == {"format": "kafka", "kafka.bootstrap.servers": "host:9092", "topic": "insect-events", "checkpointLocation": f"{tmp_path}/ck"}
+    assert sent[0].columns == ["value"] and '"species"' in sent[0].first().value
+
+
+def test_times_with_and_without_an_offset(spark):
+    from formicary.schema import parse_time
+
+    asked = ["2024-01-01T00:00:00 Z", "2024-01-01T00:00:00Z", "2024-01-01T00:00:00", "2024-01-01T02:00:00+02:00", "2023-12-31T19:30:00-04:30", "2024-01-01", "soon", None]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(asked)], "k int, x string").orderBy("k")
+    got = [r[0] for r in rows.select(F.unix_timestamp(parse_time(F.col("x")))).collect()]
+    assert got == [1704067200] * 5 + [None] * 3
