@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from formicary.functions.ordering import MAX_RANGES
 from formicary.llm.perfect_hash import PerfectHash
-from formicary.llm.shared import HOT_KEYS, arrow_map, byte_rows, discard, join_spread, materialize
+from formicary.llm.shared import HOT_KEYS, arrow_map, byte_rows, discard, join_spread, materialize, unused
 
 SPACE = b" \t\n\x0b\x0c\r"
 KEYS_PER_SHARD = 50_000
@@ -217,19 +217,19 @@ def _probe_shards(min_docs: int) -> Callable:
     return run
 
 
-def _take_out(min_chars: int, id_at: int, text_at: int) -> Callable:
+def _take_out(min_chars: int, id_at: int, text_at: int, gone: str) -> Callable:
     """The texts without the lines whose keys are listed for their document in the last column but one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = list(byte_rows(batch.column(text_at))), batch.column(id_at).cast(pa.int64()).to_pylist()
             lose = {}
-            for row, listed in enumerate(batch.column("_gone").to_pylist()):
+            for row, listed in enumerate(batch.column(gone).to_pylist()):
                 if listed:
                     keys = {(x["hi"], x["lo"]) for x in listed if x["doc_id"] == ids[row]}  # rows' hashes may agree by chance
                     lose[row] = {k for k, x in enumerate(texts[row].split(b"\n")) if line_key(x, min_chars) in keys}
-            columns = _without([c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "_gone"], text_at, texts, lose)
-            yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n != "_gone"])
+            columns = _without([c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != gone], text_at, texts, lose)
+            yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n != gone])
 
     return run
 
@@ -242,8 +242,9 @@ def _dealt(out: DataFrame, lines: DataFrame, index: DataFrame, n_shards: int, mi
     spark = out.sparkSession
     first = lines.orderBy(F.desc("n_docs"), "hi", "lo").limit(HOT_KEYS)
     hot = first.select("hi", "lo").collect()
-    rows = out.withColumn("_row", F.xxhash64(F.col(id_col).cast("long"), text_col))
-    keys = arrow_map(rows.select(F.col("_row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _keys_of(min_chars), "hi long, lo long, row long, doc_id long")
+    row, listed = unused("__row", out.columns), unused("__gone", out.columns)
+    rows = out.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), text_col))
+    keys = arrow_map(rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _keys_of(min_chars), "hi long, lo long, row long, doc_id long")
     keeper = F.broadcast(first.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "keeper"))
     tagged = materialize(keys.join(keeper, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")), "left").drop("_hi", "_lo"), "line-keys") if hot else materialize(keys.withColumn("keeper", F.lit(None).cast("long")), "line-keys")
     at_once = tagged.filter(F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("doc_id"))).select("row", "doc_id", "hi", "lo")
@@ -255,9 +256,9 @@ def _dealt(out: DataFrame, lines: DataFrame, index: DataFrame, n_shards: int, mi
     tasks = min(n_shards * copies, MAX_RANGES)
     dealt = probes.select(*order).union(shards.select(*order)).repartitionById(tasks, F.pmod(F.col("_shard") * copies + F.col("_copy"), F.lit(tasks)).cast("int")).sortWithinPartitions("_shard", "_copy", "_kind")
     gone = arrow_map(dealt, _probe_shards(min_docs), "row long, doc_id long, hi long, lo long").union(at_once)
-    gone = materialize(gone.groupBy(F.col("row").alias("_row")).agg(F.collect_set(F.struct("doc_id", "hi", "lo")).alias("_gone")), "line-drops")
-    joined = join_spread(rows, gone, "_row", ["_gone"]).select(*out.columns[:-1], "_gone", out.columns[-1])
-    return arrow_map(joined, _take_out(min_chars, out.columns.index(id_col), out.columns.index(text_col)), out.schema)
+    gone = materialize(gone.groupBy(F.col("row").alias(row)).agg(F.collect_set(F.struct("doc_id", "hi", "lo")).alias(listed)), "line-drops")
+    joined = join_spread(rows, gone, row, [listed]).select(*out.columns[:-1], listed, out.columns[-1])
+    return arrow_map(joined, _take_out(min_chars, out.columns.index(id_col), out.columns.index(text_col), listed), out.schema)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, broadcast_bytes: int = 64 << 20, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from formicary.llm.components import components
-from formicary.llm.shared import arrow_map, flat_bytes, join_spread, materialize, settle, written
+from formicary.llm.shared import arrow_map, flat_bytes, join_spread, materialize, settle, unused, written
 from formicary.llm.wordhash import distinct_sets, minhash, mix, permutations, windows, word_slices
 
 #: Bands in each of the two collections, and minhashes in a band.
@@ -296,14 +296,14 @@ def groups_of_bands(narrow: DataFrame, found: DataFrame, bands: DataFrame, shing
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), *carried)
 
 
-def _noded(text_at: int, size: int) -> Callable:
+def _noded(text_at: int, size: int, name: str) -> Callable:
     """The rows with their node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, sets, offsets in shingle_sets(batch.column(text_at), size):
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes_of(sets, offsets), mask=np.diff(offsets) == 0)], [*batch.schema.names, "__node"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes_of(sets, offsets), mask=np.diff(offsets) == 0)], [*batch.schema.names, name])
 
     return run
 
@@ -317,20 +317,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     since = written()
     verdicts = settle(near_duplicates(docs, id_col, text_col, carried=("node", "_group"), **how), "verdicts", since).filter("doc_id is not null")
     key = F.col(id_col).cast("long")
-    dropped = verdicts.filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    dropped = verdicts.filter("not kept").select(F.col("doc_id").alias("__dropped_id")).distinct()
     repeated = materialize(verdicts.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
-        return docs.join(dropped, key == F.col("_dropped"), "left_anti")
+        return docs.join(dropped, key == F.col("__dropped_id"), "left_anti")
 
-    named = repeated.select(F.col("doc_id").alias("_repeated"))
-    once = docs.join(named.union(dropped).distinct(), key == F.col("_repeated"), "left_anti")
+    named = repeated.select(F.col("doc_id").alias("__repeated_id"))
+    once = docs.join(named.union(dropped).distinct(), key == F.col("__repeated_id"), "left_anti")
     # a group's document is that with its least id and, of that id's texts, the least node
-    chosen = verdicts.join(repeated, "doc_id", "left_semi").filter("kept and node is not null").groupBy("_group").agg(F.min("doc_id").alias("_id"), F.min("node").alias("_node"))
+    chosen = verdicts.join(repeated, "doc_id", "left_semi").filter("kept and node is not null").groupBy("_group").agg(F.min("doc_id").alias("__chosen_id"), F.min("node").alias("__chosen_node"))
     size = how.get("shingle", inspect.signature(near_duplicates).parameters["shingle"].default)
-    again = docs.join(named, key == F.col("_repeated"), "left_semi")
-    again = arrow_map(again, _noded(docs.columns.index(text_col), size), StructType([*docs.schema.fields, StructField("__node", LongType())]))
+    node = unused("__node", docs.columns)
+    again = docs.join(named, key == F.col("__repeated_id"), "left_semi")
+    again = arrow_map(again, _noded(docs.columns.index(text_col), size, node), StructType([*docs.schema.fields, StructField(node, LongType())]))
     again = materialize(again, "again")
     first = F.struct(F.col(text_col), F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind)))
     row = F.min_by(F.struct(*docs.columns), first).alias("_row")
-    found = again.join(chosen, (key == F.col("_id")) & (F.col("__node") == F.col("_node"))).groupBy("_id", "_node").agg(row).select("_row.*")
-    return once.union(again.filter("__node is null").select(*docs.columns)).union(found)
+    found = again.join(chosen, (key == F.col("__chosen_id")) & (F.col(node) == F.col("__chosen_node"))).groupBy("__chosen_id", "__chosen_node").agg(row).select("_row.*")
+    return once.union(again.filter(F.col(node).isNull()).select(*docs.columns)).union(found)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formicary.llm.shared import arrow_map, byte_rows, draw, draw_bound, flat_bytes, materialize
+from formicary.llm.shared import arrow_map, byte_rows, draw, draw_bound, flat_bytes, materialize, unused
 from formicary.llm.wordhash import PLAIN, mix, windows, word_slices
 
 #: Labelled rows that the list is fitted on, at most so many (a hash of id and label chooses them).
@@ -278,7 +278,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that pass the minimum and the list, with docs' columns as they are."""
-    prefix = "__quality_"
+    prefix = unused("__quality_", docs.columns)
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = materialize(sampled_labels(labels, id_col), "labels")
     wanted = ids.join(F.broadcast(known.select(F.col("_label_id").alias("doc_id")).distinct()), "doc_id", "left_semi")

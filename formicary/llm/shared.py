@@ -98,6 +98,13 @@ def settle(df: DataFrame, tag: str, since: int) -> DataFrame:
     return out
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores after it as make it unlike the beginning of every column."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name += "_"
+    return name
+
+
 def join_spread(left: DataFrame, right: DataFrame, key: str, values: list[str], hot: list | None = None) -> DataFrame:
     """left with the `values` of right's row of the same key, null where there is none; right has one row a key.
 
@@ -110,18 +117,21 @@ def join_spread(left: DataFrame, right: DataFrame, key: str, values: list[str],
         seen = left.select(key).filter(F.col(key).isNotNull())
         seen = seen.sample(HOT_SAMPLE / n, seed=1) if n > HOT_SAMPLE else seen
         hot = [r[0] for r in seen.groupBy(key).count().filter(F.col("count") >= max(50, min(n, HOT_SAMPLE) // HOT_KEYS)).orderBy(F.desc("count")).limit(HOT_KEYS).collect()]
-    named = right.select(F.col(key).alias("_key"), *(F.col(v).alias(f"_r_{v}") for v in values))
+    own = unused("__join", left.columns)  # the beginning of all names that are added on the way
+    rest, deal, to, same = (f"{own}_{x}" for x in ("rest", "deal", "to", "key"))
+    found = {v: f"{own}_r_{v}" for v in values}
+    named = right.select(F.col(key).alias(same), *(F.col(v).alias(found[v]) for v in values))
     is_hot = F.col(key).isin(hot) if hot else F.lit(False)
-    out = left.withColumn("_rest", F.when(~is_hot, F.col(key)))
-    out = out.withColumn("_deal", F.xxhash64(F.when(F.col("_rest").isNull(), F.monotonically_increasing_id()), "_rest"))
-    named = named.withColumn("_to", F.xxhash64(F.lit(None).cast("long"), "_key"))  # the same for the rows that can meet
-    out = out.join(named, (F.col("_deal") == F.col("_to")) & (F.col("_rest") == F.col("_key")), "left").drop("_key", "_to", "_rest", "_deal")
-    found = {v: F.col(f"_r_{v}") for v in values}
+    out = left.withColumn(rest, F.when(~is_hot, F.col(key)))
+    out = out.withColumn(deal, F.xxhash64(F.when(F.col(rest).isNull(), F.monotonically_increasing_id()), rest))
+    named = named.withColumn(to, F.xxhash64(F.lit(None).cast("long"), same))  # the same for the rows that can meet
+    out = out.join(named, (F.col(deal) == F.col(to)) & (F.col(rest) == F.col(same)), "left").drop(same, to, rest, deal)
+    values_of = {v: F.col(c) for v, c in found.items()}
     if hot:
-        few = right.filter(F.col(key).isin(hot)).select(F.col(key).alias("_key"), *(F.col(v).alias(f"_h_{v}") for v in values))
-        out = out.join(F.broadcast(few), F.col(key) == F.col("_key"), "left").drop("_key")
-        found = {v: F.coalesce(F.col(f"_h_{v}"), F.col(f"_r_{v}")) for v in values}
-    return out.select(*left.columns, *(c.alias(v) for v, c in found.items()))
+        few = right.filter(F.col(key).isin(hot)).select(F.col(key).alias(same), *(F.col(v).alias(f"{own}_h_{v}") for v in values))
+        out = out.join(F.broadcast(few), F.col(key) == F.col(same), "left").drop(same)
+        values_of = {v: F.coalesce(F.col(f"{own}_h_{v}"), c) for v, c in values_of.items()}
+    return out.select(*left.columns, *(c.alias(v) for v, c in values_of.items()))
 
 
 def draw(h: Column) -> Column:

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
+import numpy as np
 import pyarrow as pa
 
 from formicary.llm.fingerprints import as_text, fingerprint_edits, fingerprints, likeness
@@ -28,6 +30,60 @@ def test_rows_follow_each_other_in_descending_ids(spark):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+M64 = (1 << 64) - 1
+
+
+def mixed(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def plain_minhash(text, n=128, seed=2):
+    """The fingerprint by loops over words, shingles and functions, in whole numbers."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+    hashes = []
+    for word in words:
+        value, power = 0, 1
+        for byte in word:
+            value = (value + (byte + 32 if 65 <= byte <= 90 else byte) * power + power) & M64
+            power = power * (0x9E3779B97F4A7C15 | 1) & M64
+        hashes.append(mixed(value))
+    if not hashes:
+        return "ff" * n
+    shingles = [hashes[k : k + 5] for k in range(len(hashes) - 4)] or [hashes]
+    values = set()
+    for shingle in shingles:
+        value = len(shingle) * 0xD6E8FEB86659FD93 & M64
+        for k, word in enumerate(shingle + [0] * (5 - len(shingle))):
+            value = (value * 0xFF51AFD7ED558CCD + mixed((word + k + 1) & M64)) & M64
+        value = mixed(value)
+        values.add((value ^ value >> 32) & 0xFFFFFFFF)
+    draw = np.random.default_rng(seed)
+    a, b = draw.integers(0, 1 << 32, n, np.uint32).tolist(), draw.integers(0, 1 << 32, n, np.uint32).tolist()
+    return "".join(f"{min(((x | 1) * v + y) & 0xFFFFFFFF for v in values) & 255:02x}" for x, y in zip(a, b, strict=True))
+
+
+def plain_likeness(one, two):
+    same = sum(one[k : k + 2] == two[k : k + 2] for k in range(0, 256, 2)) / 128
+    return max(0.0, same - 1 / 256) / (1 - 1 / 256)
+
+
+def test_fingerprints_and_likeness_are_those_of_brute_force(spark):
+    rows = [r for r in odd_documents() if len(r[1] or "") < 10_000]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = []
+    for k, (doc, text, *_) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        own, changed, following = (plain_minhash(x) for x in (text, text[: len(text) - half] + after[:half], after))
+        want.append((doc, own, changed, round(plain_likeness(own, changed), 9), round(plain_likeness(own, following), 9)))
+    got = fingerprint_edits(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_many_rows_over_many_ranges(spark):
     rows = [(k * 3, f"text {k} " * (k % 5), None, None, None) for k in range(500)]
     got = {r.doc_id: r.edited_sha256 for r in fingerprint_edits(frame(spark, rows)).collect()}
