@@ -104,6 +104,9 @@ def test_ellipsoidal_distance(spark):
     assert abs(vincenty(50.06632, -5.71475, 58.64402, -3.07009) - 969.954) < 0.01
     row = spark.range(1).select(vincenty_km(F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(10.0)).alias("v"), haversine_km(F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(10.0)).alias("h")).first()
     assert abs(row.v - row.h) / row.v < 0.006
+    odd = spark.createDataFrame([(0, None, 1.0), (1, 0.0, 0.0), (2, 0.0, 179.9)], "k int, a double, b double").select("k", vincenty_km(F.lit(0.0), "a", F.lit(0.0), "b").alias("v"))
+    assert {r.k: r.v for r in odd.collect()} == {0: None, 1: 0.0, 2: None}  # a null, the same place, nearly opposite ones
+    assert vincenty(0, 0, 0, 179.9) is None
 
 
 def test_walks_follow_edges_and_stop_at_dead_ends(spark):

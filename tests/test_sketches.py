@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from formicary.functions.hashing import murmur3, murmur3_32
+from formicary.functions.hashing import murmur3, murmur3_32, murmur3_array
 from formicary.operators import sketches
 
 
@@ -137,3 +137,17 @@ def test_dgim_estimate_is_the_counters(spark):
 def test_murmur3_of_published_values(spark):
     assert murmur3_32(b"", 0) == 0 and murmur3_32(b"", 1) == 0x514E28B7 and murmur3_32(b"test", 0) == 0xBA6BD213 and murmur3_32(b"Hello, world!", 0x9747B28C) == 0x24884CBA
     assert spark.range(1).select(murmur3(F.lit("test"), F.lit(0))).first()[0] == 0xBA6BD213 - (1 << 32)
+
+
+def test_murmur3_of_arrays_is_that_of_each_text(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(4)
+    texts = ["".join(map(chr, draw.integers(1, 0x2FF, n))) for n in draw.integers(0, 30, 400)] + ["x" * 4096, "y" * 4097, "", None, "🐝" * 9]
+    seeds = draw.integers(0, 2**32, len(texts))
+    for low, high in ((0, len(texts)), (7, 40), (3, 3)):
+        got = murmur3_array(pa.array(texts).slice(low, high - low), seeds[low:high])
+        assert got.tolist() == [murmur3_32((t or "").encode(), int(s)) for t, s in zip(texts[low:high], seeds[low:high], strict=True)]
+    rows = spark.createDataFrame([("a", 1), (None, 1), ("a", None), ("a", -1)], "x string, s int").select(murmur3("x", "s").alias("h")).collect()
+    assert [r.h is None for r in rows] == [False, True, True, False] and rows[0].h != rows[3].h
