@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -82,6 +83,30 @@ def test_classes_and_cycles_in_spark(spark):
     assert sorted(r.state for r in markov.on_cycle(chain, 4).distinct().collect()) == ["a", "b", "c"]
 
 
+def test_classes_by_joins_are_those_of_the_driver(spark):
+    rng = random.Random(3)
+    ring = [(f"r{k}", f"r{(k + 1) % 6}") for k in range(6)]
+    tail = [("r0", "t0"), ("t0", "t1"), ("t1", "u"), ("u", "u"), ("s", "r3")]
+    wild = [(f"w{rng.randrange(14)}", f"w{rng.randrange(14)}") for _ in range(22)]
+    pairs = sorted({*ring, *tail, *wild, ("x0", "x1"), ("x1", "x0"), ("x1", "x2"), ("x2", "x1")})
+    rows = [(a, b, 0.5) for a, b in pairs] + [("lone", "r1", 0.1), (None, "r1", 0.9), ("r1", "lone", None)]
+    chain = spark.createDataFrame(rows, "from string, to string, p double")
+
+    def seen(found):
+        rows = found.collect()
+        named = {}
+        for r in rows:
+            named.setdefault(r.component, []).append(r.state)
+        return sorted((r.state, tuple(sorted(named[r.component])), r.recurrent, r.period, r.aperiodic, r.ergodic) for r in rows)
+
+    joined = markov.classify(chain, 0.2, driver_edges=3)
+    assert seen(joined) == seen(markov.classify(chain, 0.2))
+    assert joined.schema.simpleString() == markov.classify(chain, 0.2).schema.simpleString()
+    assert {r.state: r.period for r in joined.collect()}["r4"] == 6
+    with pytest.raises(ValueError, match="reference mode"):
+        markov.classify(chain, 0.2, mode="reference", driver_edges=3)
+
+
 def test_user_chains(spark):
     rows = chain_events(spark, "abab").withColumn("u", F.col("id") % 2)
     assert {(r.u, r["from"], r["to"]) for r in markov.keyed_transitions(rows, ["u"]).collect()} == {(0, "a", "a"), (1, "b", "b")}
