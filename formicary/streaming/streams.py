@@ -6,16 +6,20 @@ so a restart goes on where the last one ended.
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from formicary.operators.sketches import Dgim
-from formicary.operators.store import age_seconds, upsert
+from formicary.operators.store import age_seconds
 from formicary.schema import judged, split_judged
 from formicary.shipping import ship
 
@@ -39,44 +43,116 @@ def ingest(messages: DataFrame, good_path: str, bad_path: str, checkpoint: str,
     return messages.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+#: Runs of one level that are merged into one of the next.
+FAN = 8
+
+
 def upserting(events: DataFrame, path: str, checkpoint: str, key: str = "id", seq: str = "ts", keep_hours: float | None = None, ts: str = "ts", **trigger):  # noqa: ANN201
     """Keep the last row of each key under path, as one version after another; returns the query.
 
-    A version is written in full next to the last one before it counts, so readers never see half of it. The last
-    two stay, for readers that are at the one before; older ones go. Each batch reads and writes the whole store,
-    so batches should be large against it; keep_hours bounds it.
-    keep_hours: rows whose time is longer ago by the clock leave with the next version.
+    A batch is written as a run of its own; when there are FAN runs of a level they are merged into one of the
+    next, so a row is rewritten once a level and a version is some FAN runs a level. A version is a list of runs,
+    which counts once it is there in full; `latest_version` merges them for a reader. The lists of the last two
+    versions and their runs stay, for readers that are at the one before; older ones go. Among rows of a key with
+    equal seq that of the latest batch stays (within a batch: any); a null seq is less than any other. A path
+    belongs to one checkpoint folder.
+    keep_hours: rows whose time is longer ago by the clock of the batch, or null, are in no version; their space is free
+    when their run is the oldest and all of it is old, or when all runs are merged.
     """
     spark = events.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = latest_version(spark, path, number)
-        merged = batch if before is None else before.unionByName(batch)
-        last = upsert(merged, key, seq)
+        if number in versions(spark, path):  # written before a failure that lost the commit
+            return
+        before = _manifest(spark, path, number)
+        runs, taken, level = (before["runs"] if before else []), [], 0
+        while len(runs) >= FAN - 1 and all(r["level"] == level for r in runs[1 - FAN :]):
+            runs, taken, level = runs[: 1 - FAN], runs[1 - FAN :] + taken, level + 1
+        clock = time.time_ns() // 1000
+        book = {"key": key, "seq": seq, "ts": ts, "keep_hours": keep_hours, "clock": clock}
+        last = _last_rows([*_read_runs(spark, path, taken), batch], key, seq)
+        name = f"run-{taken[0]['first'] if taken else number:012d}-{number:012d}"
+        (last if runs else _kept(last, book)).write.mode("overwrite").parquet(f"{path}/{name}")
+        run = {"name": name, "first": taken[0]["first"] if taken else number, "level": level}
         if keep_hours is not None:
-            last = last.filter(~(age_seconds(F.current_timestamp(), ts) > keep_hours * 3600))
-        last.write.mode("overwrite").parquet(f"{path}/v={number:012d}")
-        for old in versions(spark, path)[:-2]:
-            target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={old:012d}")
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            run["newest"] = spark.read.schema(last.schema).parquet(f"{path}/{name}").agg(F.max(F.unix_micros(F.col(ts).cast("timestamp")))).first()[0]
+            while runs and "newest" in runs[0] and (runs[0]["newest"] is None or clock - runs[0]["newest"] > keep_hours * 3_600_000_000):
+                runs = runs[1:]
+        _publish(spark, path, number, {**book, "schema": last.schema.json(), "runs": [*runs, run]})
+        _clean(spark, path)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _files(spark: SparkSession, path: str):  # noqa: ANN202  Hadoop's file system and path
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _last_rows(parts: list[DataFrame], key: str, seq: str) -> DataFrame:
+    """The last row of each key by (seq, part): one aggregation with partial results."""
+    columns = parts[0].columns
+    rows = reduce(DataFrame.unionByName, [df.select(F.struct(*columns).alias("row"), F.lit(k).alias("part")) for k, df in enumerate(parts)])
+    return rows.groupBy(F.col(f"row.`{key}`").alias("key")).agg(F.max_by("row", F.struct(f"row.`{seq}`", "part")).alias("row")).select("row.*")
+
+
+def _kept(rows: DataFrame, book: dict) -> DataFrame:
+    """The rows that are not too old by the clock of a version."""
+    if book["keep_hours"] is None:
+        return rows
+    return rows.filter(~(age_seconds(F.timestamp_micros(F.lit(book["clock"])), book["ts"]) > book["keep_hours"] * 3600))
+
+
+def _read_runs(spark: SparkSession, path: str, runs: list[dict], schema: StructType | None = None) -> list[DataFrame]:
+    reader = spark.read.schema(schema) if schema else spark.read
+    return [reader.parquet(f"{path}/{r['name']}") for r in runs]
+
+
+def _publish(spark: SparkSession, path: str, number: int, book: dict) -> None:
+    """Write the list of a version's runs; it appears under its name at once and in full."""
+    fs, part = _files(spark, f"{path}/_part-{number:012d}")
+    out = fs.create(part, True)
+    out.write(bytearray(json.dumps(book).encode()))
+    out.close()
+    if not fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version-{number:012d}")):
+        raise OSError(f"version {number} of {path} can't be published")
+
+
+def _manifest(spark: SparkSession, path: str, below: int | None = None) -> dict | None:
+    numbers = [n for n in versions(spark, path) if below is None or n < below]
+    return json.loads(spark.read.text(f"{path}/version-{numbers[-1]:012d}", wholetext=True).first()[0]) if numbers else None
+
+
+def _clean(spark: SparkSession, path: str) -> None:
+    """Delete the lists before the last two, and the runs that are in neither of those."""
+    fs, root = _files(spark, path)
+    last = [f"version-{n:012d}" for n in versions(spark, path)[-2:]]
+    used = {r["name"] for n in last for r in json.loads(spark.read.text(f"{path}/{n}", wholetext=True).first()[0])["runs"]}
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if (name.startswith("version-") and name not in last) or (name.startswith("run-") and name not in used):
+            fs.delete(status.getPath(), True)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The numbers of the whole versions under path, rising."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, root = _files(spark, path)
     if not fs.exists(root):
         return []
-    names = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(int(n[2:]) for n in names if n.startswith("v="))
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted(int(n.rpartition("-")[2]) for n in names if n.startswith("version-"))
 
 
 def latest_version(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
-    """The newest whole version under path (below a number), None if there is none."""
-    numbers = [n for n in versions(spark, path) if below is None or n < below]
-    return spark.read.parquet(f"{path}/v={numbers[-1]:012d}") if numbers else None
+    """The newest whole version under path (below a number), None if there is none.
+
+    Its runs are merged by key, one shuffle; a version of one run is read as it is.
+    """
+    book = _manifest(spark, path, below)
+    if book is None:
+        return None
+    parts = _read_runs(spark, path, book["runs"], StructType.fromJson(json.loads(book["schema"])))
+    return _kept(parts[0] if len(parts) == 1 else _last_rows(parts, book["key"], book["seq"]), book)
 
 
 def timed(events: DataFrame, late: str = "1 hour", ts: str = "ts") -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from formicary.operators.markov import keyed_transitions
@@ -63,6 +65,34 @@ def test_upserts_keep_the_last(spark, tmp_path):
     assert [r.id for r in streams.latest_version(spark, f"{tmp_path}/kept").collect()] == [1]
 
 
+def test_runs_are_merged_by_levels(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "FAN", 3)
+    want = {}
+    for k in range(10):
+        rows = [(1, f"a{k}", k), (2, f"b{k}", 7), (20 + k, f"c{k}", k), (3, f"d{k}", 9 - k), (4, f"e{k}", None)]
+        spark.createDataFrame(rows, "id long, text string, seq long").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        time.sleep(0.05)  # files are taken by their time
+        want |= {1: f"a{k}", 2: f"b{k}", 20 + k: f"c{k}", 3: "d0", 4: f"e{k}"}
+    rows = spark.readStream.schema("id long, text string, seq long").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    finish(streams.upserting(rows, f"{tmp_path}/out", f"{tmp_path}/ck", seq="seq"))
+    got = streams.latest_version(spark, f"{tmp_path}/out").collect()
+    assert {r.id: r.text for r in got} == want and len(got) == len(want)
+    names = sorted(f.name for f in tmp_path.joinpath("out").iterdir() if f.name.startswith("run-"))
+    assert names == ["run-000000000000-000000000008", "run-000000000009-000000000009"]
+    assert {r.id: r.text for r in streams.latest_version(spark, f"{tmp_path}/out", 9).collect()}[1] == "a8"
+
+
+def test_old_runs_leave_with_the_clock(spark, tmp_path):
+    for k, hours in enumerate([30, 20, 1]):
+        spark.createDataFrame([(k, hours), (9, hours)], "id long, hours int").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        time.sleep(0.05)
+    rows = spark.readStream.schema("id long, hours int").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    dated = rows.withColumn("ts", F.timestamp_seconds(F.unix_timestamp(F.current_timestamp()) - F.col("hours") * 3600))
+    finish(streams.upserting(dated, f"{tmp_path}/out", f"{tmp_path}/ck", keep_hours=10))
+    assert sorted((r.id, r.hours) for r in streams.latest_version(spark, f"{tmp_path}/out").collect()) == [(2, 1), (9, 1)]
+    assert len(streams._manifest(spark, f"{tmp_path}/out")["runs"]) == 1
+
+
 def test_counters_and_transitions_keep_state_between_batches(spark, tmp_path):
     made = messages(spark, tmp_path)
     good, _ = decode(stream_messages(spark, f"{tmp_path}/in", 1))
