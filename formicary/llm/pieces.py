@@ -48,6 +48,7 @@ class PieceModel:
         proto = sp.serialized_model_proto()
         self.merges = _model_type(proto) == 2
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.follow: dict[tuple[str, str], list[tuple[str, float]]] = {}
         self.bytes = [self._bytes(k) for k in range(sp.get_piece_size())]
 
     def _bytes(self, k: int) -> bytes:
@@ -102,6 +103,17 @@ class PieceModel:
             if text[at:to] in self.ids:
                 yield text[at:to]
 
+    def followers(self, last: str, text: str, at: int, end: int) -> list[tuple[str, float]]:
+        """The tokens that may come here after another, with their weights; remembered by what the text goes on with."""
+        key = (last, text[at : min(at + self.longest, end)])
+        found = self.follow.get(key)
+        if found is None:
+            if len(self.follow) > 200_000:
+                self.follow.clear()
+            weighed = ((token, self.weight(last, token)) for token in self.tokens_at(text, at, end))
+            found = self.follow[key] = [(token, w) for token, w in weighed if w != NONE]
+        return found
+
     def states(self, text: str, cut: int) -> list[State]:
         """Every state that a path may have at the cut, given the characters around it."""
         if cut in (0, len(text)) or self.starts_word(text, cut):
@@ -127,10 +139,7 @@ class PieceModel:
         place = min(at)
         while place < goal:
             for last, reached in at.get(place, {}).items():
-                for token in self.tokens_at(text, place, len(text)):
-                    w = self.weight(last, token)
-                    if w == NONE:
-                        continue
+                for token, w in self.followers(last, text, place, len(text)):
                     end = place + len(token)
                     name = "" if end == len(text) or self.starts_word(text, end) else token
                     row = at.setdefault(end, {})
@@ -146,10 +155,7 @@ class PieceModel:
         by_place: dict[int, list[State]] = {entry[0]: [entry]}
         for place in range(entry[0], exit_[0]):
             for state in by_place.get(place, ()):
-                for token in self.tokens_at(text, place, exit_[0]):
-                    w = self.weight(state[1], token)
-                    if w == NONE:
-                        continue
+                for token, w in self.followers(state[1], text, place, exit_[0]):
                     end = place + len(token)
                     to = (end, "" if end == len(text) or self.starts_word(text, end) else token)
                     if to not in best:
@@ -274,12 +280,15 @@ def piece_model(path: str) -> PieceModel:
     return _models[path]
 
 
+def cuts_of(plain: str, chunk: int) -> list[int]:
+    """The bounds of the chunks of a normalised text; one that came to nothing has one empty chunk."""
+    return [*range(0, max(1, len(plain)), chunk), len(plain)]
+
+
 def encode_chunked(model: PieceModel, text: str, chunk: int) -> list[int]:
     """A whole text by the scan, in one process (what the Spark operator does in many)."""
     plain = model.library.normalize(text)
-    cuts = [*range(0, len(plain), chunk), len(plain)]
-    if len(cuts) < 2 or not plain:
-        return []
+    cuts = cuts_of(plain, chunk)
     spans = list(zip(cuts, cuts[1:], strict=False))
     states = choose_states([model.transfer(plain, a, b) for a, b in spans])
     return [x for (a, b), i, j in zip(spans, states, states[1:], strict=False) for x in model.tokens(plain, a, b, i, j)]
@@ -309,7 +318,7 @@ def _chunks(path: str, chunk: int) -> Callable:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 row += 1
                 plain = model.library.normalize(text)
-                cuts = [*range(0, len(plain), chunk), len(plain)]
+                cuts = cuts_of(plain, chunk)
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     lo, hi = max(0, a - around), min(len(plain), b + around)
                     # a state depends on whether the text ends or begins there, so a window ends inside it only where that can't be seen

@@ -5,7 +5,7 @@ import random
 import public_tokenizers
 import sentencepiece
 
-from formicary.llm.pieces import PieceModel, combine, decode, encode, encode_chunked, prefixes
+from formicary.llm.pieces import PieceModel, combine, cuts_of, decode, encode, encode_chunked, prefixes
 from tests.llm.helpers import frame, odd_documents, prose
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -21,6 +21,14 @@ def test_chunks_of_any_size_give_the_librarys_ids():
             assert encode_chunked(model, text, chunk) == model.library.encode(text), (text, chunk)
 
 
+def test_runs_of_spaces_and_texts_that_come_to_nothing():
+    model = PieceModel(PATH)
+    for text in (" " * 3000, "a" + " " * 1500 + "b\n" + " " * 700):
+        assert encode_chunked(model, text, 600) == model.library.encode(text)
+    assert cuts_of("", 5) == [0, 0] and cuts_of("abcdef", 3) == [0, 3, 6] and cuts_of("abcdefg", 3) == [0, 3, 6, 7]
+    assert encode_chunked(model, "", 5) == [] and model.transfer("", 0, 0).tolist() == [[0.0]]
+
+
 def unigram_model(tmp_path):
     """The same pieces read as a unigram model: only the declared type differs."""
     proto = open(PATH, "rb").read()
