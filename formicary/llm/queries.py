@@ -45,6 +45,13 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def fingerprint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of operator 4: documents that meet in a band of their signatures, with verified Jaccard."""
+    from formicary.llm.fingerprints import similar_documents
+
+    return similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from formicary.llm.lines import dedup_lines
 
@@ -93,7 +100,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_sentencepiece, op3_minhash_near_dedup, op4_document_fingerprints, op5_line_dedup, op6_license_scan, op7_warc, op8_quality_rules, op9_language_id, op10_url_filter)
+    for f in (op1_best_fit_packing, op2_sentencepiece, op3_minhash_near_dedup, op4_document_fingerprints, fingerprint_groups, op5_line_dedup, op6_license_scan, op7_warc, op8_quality_rules, op9_language_id, op10_url_filter)
 }
 
 
@@ -134,6 +141,24 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(CAST(gone AS INT))
 FROM m GROUP BY doc_id"""
 
 
+def _groups_sql() -> str:
+    """Exact groups at a Jaccard similarity of 0.8 of five-word shingles; equal sets are one node."""
+    return """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))) END AS shingles FROM w),
+n AS (SELECT min(doc_id) AS node, shingles, len(shingles) AS size FROM s WHERE len(shingles) > 0 GROUP BY shingles),
+x AS (SELECT node, size, unnest(shingles) AS shingle FROM n),
+p AS (SELECT a.node AS a, b.node AS b, count(*) AS common, any_value(a.size + b.size) AS total FROM x a JOIN x b ON a.shingle = b.shingle AND a.node < b.node
+  WHERE 100 * a.size >= 80 * b.size AND 100 * b.size >= 80 * a.size GROUP BY a.node, b.node),
+l AS (SELECT a, b FROM p WHERE 100 * common >= 80 * (total - common)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT node, node AS seen FROM n UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id, coalesce(c.component_id, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN n ON n.shingles = s.shingles LEFT JOIN c ON c.node = n.node"""
+
+
 def _op6_sql() -> str:
     from formicary.llm.licenses import oracle
 
@@ -142,6 +167,7 @@ def _op6_sql() -> str:
 
 #: Those that SQL can express; the others are held against brute force, round trips or held-out accuracy in tests.
 ORACLE_SQL: dict[str, str] = {
+    "fingerprint_groups": _groups_sql(),
     "op5_line_dedup": _op5_sql(),
     "op6_license_scan": _op6_sql(),
     "op7_warc": _op7_sql(),
