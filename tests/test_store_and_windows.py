@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from formicary.operators import counts, store, windows
 from formicary.schema import decode, encode
-from formicary.sources.events import generated, read_messages, write_messages
+from formicary.sources.events import generated, read_messages, show, write_messages
 
 NOW = datetime(2024, 1, 1, 12, 0, 0)
 FLAT = "id string, species string, role string, age int, event string, ts timestamp, habitat string, latitude double, longitude double, ecological_impact int, population_density int, seq long"
@@ -117,3 +117,9 @@ def test_generator_is_reproducible_and_round_trips(spark, tmp_path):
     good, bad = decode(read_messages(spark, f"{tmp_path}/m"))
     assert bad.count() == 0 and sorted(map(tuple, good.select(*made.columns).collect())) == sorted(map(tuple, made.collect()))
     assert encode(made).columns == ["value"]
+
+
+def test_the_console_shows_whole_values(spark, capsys):
+    show(spark.createDataFrame([("x" * 60, 1), ("y", 2)], "a string, n int").orderBy("n"), 1)
+    said = capsys.readouterr().out
+    assert "x" * 60 in said and "only showing top 1 row" in said and "|y" not in said

@@ -164,3 +164,18 @@ def test_times_with_and_without_an_offset(spark):
     rows = spark.createDataFrame([(k, x) for k, x in enumerate(asked)], "k int, x string").orderBy("k")
     got = [r[0] for r in rows.select(F.unix_timestamp(parse_time(F.col("x")))).collect()]
     assert got == [1704067200] * 5 + [None] * 3
+
+
+def test_progress_keeps_the_last_reports(spark, tmp_path):
+    messages(spark, tmp_path, 3)
+    progress = streams.Progress(keep=2)
+    spark.streams.addListener(progress)
+    try:
+        finish(streams.ingest(stream_messages(spark, f"{tmp_path}/in", 1), f"{tmp_path}/good", f"{tmp_path}/bad", f"{tmp_path}/ck"))
+        until = time.time() + 30
+        while (not progress.reports or progress.reports[-1][0] < 2) and time.time() < until:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(progress)
+    assert [r[:2] for r in progress.reports] == [(1, 200), (2, 200)]
+    assert all(rate > 0 for _, _, rate in progress.reports)
