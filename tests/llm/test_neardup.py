@@ -147,6 +147,14 @@ def test_components_of_chains_and_cycles(spark):
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def test_components_of_stars_take_no_round(spark):
+    edges = [(k, 3) for k in range(4, 40)] + [(50, 41), (41, 51), (41, 50)]
+    got = dict(rows_of(components(spark.createDataFrame(edges, "u long, v long"), max_rounds=1)))
+    assert got == {**{k: 3 for k in range(3, 40)}, 41: 41, 50: 41, 51: 41}
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([*edges, (2, 39)], "u long, v long"), max_rounds=1)
+
+
 def test_tensored_bands_are_reproducible():
     column = pa.array(["a b c d e", None, "a b c d e f"])
     one, two = (list(neardup._signatures(3, 12, 3, 1)(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([4, 5, 6]), column], ["doc_id", "row", "text"])]))) for _ in range(2))
